@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import packing, sentencepiece_bpe, token_counts
+from tessera.llm import language_id, packing, sentencepiece_bpe, token_counts
 
-MODULES = [sentencepiece_bpe, token_counts, packing]
+MODULES = [sentencepiece_bpe, token_counts, language_id, packing]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
