@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 2
         if not n:
             continue
         a = b.column(column)
-        sizes = np.asarray(pa.compute.binary_length(a).fill_null(0)).astype("int64")
+        sizes = np.asarray(pc.binary_length(a).fill_null(0)).astype("int64")
         at = np.cumsum(sizes)
         start = 0
         while start < n:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import language_id, packing, sentencepiece_bpe, token_counts
+from tessera.llm import language_id, packing, sentencepiece_bpe, token_counts, toxicity
 
-MODULES = [sentencepiece_bpe, token_counts, language_id, packing]
+MODULES = [toxicity, sentencepiece_bpe, token_counts, language_id, packing]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
