@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import language_id, packing, sentencepiece_bpe, token_counts, toxicity
+from tessera.llm import fingerprints, language_id, packing, sentencepiece_bpe, token_counts, toxicity
 
-MODULES = [toxicity, sentencepiece_bpe, token_counts, language_id, packing]
+MODULES = [toxicity, sentencepiece_bpe, token_counts, language_id, fingerprints, packing]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
