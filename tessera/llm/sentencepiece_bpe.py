@@ -32,7 +32,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 _RUN = SPACE * 2
 #: Remembered compatibility answers, at most, per worker.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 250_000
 #: Ids that a worker hands back in one batch, about (rows are cut by their text's bytes).
 HELD_BYTES = 2 << 20
 
