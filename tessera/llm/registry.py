@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import fingerprints, language_id, packing, sentencepiece_bpe, token_counts, toxicity
+from tessera.llm import fingerprints, language_id, packing, sentencepiece_bpe, token_counts, toxicity, vector_topk
 
-MODULES = [toxicity, sentencepiece_bpe, token_counts, language_id, fingerprints, packing]
+MODULES = [toxicity, sentencepiece_bpe, token_counts, vector_topk, language_id, fingerprints, packing]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
