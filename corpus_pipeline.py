@@ -1,10 +1,66 @@
-"""The corpus pipeline: language ID, toxicity, near-duplicates, packing."""
+"""The corpus pipeline: language ID, toxicity, near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir), where docs has the columns of ``documents``, and works on all
+that its predecessor kept. The models are fitted on the tables below ``sf_dir``, as the operators' own queries do.
+Nulls, empty texts, repeated rows and empty tables go through as each operator defines; see there.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import language_id, near_duplicates, packing, toxicity
+from tessera.llm.common import durable, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text goes if no language has at least this share of its letters.
+LEAST_LANGUAGE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language: those without a letter go, and those in which no language has a fair share of the letters."""
+    model = language_id.production_model(spark, sf_dir)
+    found = language_id.with_language(docs.select(*COLUMNS), model)
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*COLUMNS)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that aren't predicted toxic."""
+    model = toxicity.production_model(spark, sf_dir)
+    return toxicity.with_toxicity(docs.select(*COLUMNS), model).filter("predicted = 0").select(*COLUMNS)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate class: the one of the smallest id (of rows that repeat this id, one; of a text that has no id, one)."""
+    docs = docs.select(*COLUMNS)
+    classes = near_duplicates.near_duplicate_classes(docs)
+    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
+    with_id = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeated.take(1):
+        with_id = with_id.dropDuplicates(["doc_id"])
+    if not classes.filter("class_id IS NULL").take(1):
+        return with_id
+    # texts of which no row has an id
+    return with_id.unionByName(docs.filter("doc_id IS NULL").join(with_id.select("text").distinct(), "text", "left_anti").dropDuplicates(["text"]).select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicate), ("packing", pack)]
+#: No SQL: tokenisation and learned models can't be expressed.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``, each stage's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = durable(docs, f"pipeline-{name}")
+    return docs
