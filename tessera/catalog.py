@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "expand_compose"
+from tessera.plans import catalogue_queries, hierarchy_queries
+
+QUERIES: dict = hierarchy_queries.Q | catalogue_queries.Q
+ORACLE: dict = hierarchy_queries.SQL | catalogue_queries.SQL
+FLAGSHIP = "expand_hierarchy"

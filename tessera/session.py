@@ -28,3 +28,14 @@ def get_session(app: str = "tessera", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``, read through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder: the plan starts anew there and survives lost executors.
+
+    The folder is ``spark.checkpoint.dir``; only where that is unset (one machine, tests) a local one is named.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    return df.checkpoint()
