@@ -46,3 +46,23 @@ def repaired_date(value: Column) -> Column:
 def words(text: Column) -> Column:
     """Words for an index: lowered, longer than two letters, starting with a letter."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: (F.length(w) > 2) & w.rlike("^[a-z]"))
+
+
+def language_preferences(header: Column) -> Column:
+    """An Accept-Language text as an array of (tag, q), best first, equal ones in their order; a q that can't be read counts 1."""
+    parts = F.filter(F.transform(F.split(header, ","), lambda p: F.trim(p)), lambda p: p != "")
+    read = F.transform(parts, lambda p, i: F.struct((-F.coalesce(F.regexp_extract(p, r";\s*q\s*=\s*([0-9.]+)", 1).try_cast("double"), F.lit(1.0))).alias("k"), i.alias("i"), F.trim(F.split(p, ";")[0]).alias("tag")))
+    return F.transform(F.array_sort(read), lambda x: F.struct(x["tag"].alias("tag"), (-x["k"]).alias("q")))
+
+
+def drug_code_kind(code: Column) -> Column:
+    """11-digit, 10-digit (three dashed parts), product (two), or other."""
+    return F.when(code.rlike(r"^\d{11}$"), "11-digit").when(code.rlike(r"^\d+-\d+-\d+$"), "10-digit").when(code.rlike(r"^\d+-\d+$"), "product").otherwise("other")
+
+
+def modified_code(expression: Column) -> Column:
+    """``code:mod:mod`` as (code, modifiers, ok): ok if the code isn't empty and no modifier is empty or repeated."""
+    p = F.split(expression, ":")
+    mods = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
+    ok = (p[0] != "") & ~F.array_contains(mods, "") & (F.size(F.array_distinct(mods)) == F.size(mods))
+    return F.struct(p[0].alias("code"), mods.alias("modifiers"), ok.alias("ok"))

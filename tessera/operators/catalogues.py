@@ -77,3 +77,27 @@ def masked(values: DataFrame, masks: DataFrame, value: str) -> DataFrame:
         return exact.select(value, "mask")
     heads = v.select(value, F.explode(F.array_distinct(F.array(*[F.expr(f"substring({value}, 1, {n})") for n in lengths]))).alias("head"))
     return exact.select(value, "mask").unionByName(heads.join(ends, "head").select(value, "mask")).distinct()
+
+
+def first_rule(values: DataFrame, rules: DataFrame, value: str) -> DataFrame:
+    """(value, allowed, ord): the first rule (ord, mask, allowed) whose mask fits decides; without one the value is allowed."""
+    hit = masked(values, rules.select("mask"), value).join(rules, "mask")
+    best = hit.groupBy(value).agg(F.min_by(F.struct("allowed", "ord"), "ord").alias("b"))
+    return values.select(value).distinct().join(best, value, "left").select(value, F.coalesce("b.allowed", F.lit(True)).alias("allowed"), F.col("b.ord").alias("ord"))
+
+
+def picked_version(wanted: DataFrame, have: DataFrame) -> DataFrame:
+    """(name, version, picked): the exact version, else the newest that starts with ``version-``, else null."""
+    exact = have.select("name", "version", F.lit(True).alias("exact")).distinct()
+    labelled = have.select("name", F.regexp_extract("version", "^(.*?)-", 1).alias("base"), F.col("version").alias("labelled")).filter("base <> ''")
+    newest = labelled.groupBy("name", "base").agg(F.max_by("labelled", versions.semver_key(F.col("labelled"))).alias("labelled"))
+    out = wanted.select("name", "version").distinct().join(exact, ["name", "version"], "left").join(newest.withColumnRenamed("base", "version"), ["name", "version"], "left")
+    return out.select("name", "version", F.when(F.col("exact"), F.col("version")).otherwise(F.col("labelled")).alias("picked"))
+
+
+def two_way(links: DataFrame) -> DataFrame:
+    """(item, uses, used_by): how many others each item points to, and how many point to it."""
+    a = links.select(F.col("source").alias("item"), F.col("target").alias("other"), F.lit(0).alias("side"))
+    b = links.select(F.col("target").alias("item"), F.col("source").alias("other"), F.lit(1).alias("side"))
+    one = a.unionByName(b).distinct()
+    return one.groupBy("item").agg(F.count_if(F.col("side") == 0).alias("uses"), F.count_if(F.col("side") == 1).alias("used_by"))

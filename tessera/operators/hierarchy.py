@@ -103,3 +103,29 @@ def reparented(pairs: DataFrame, codes: DataFrame, kept: Column) -> DataFrame:
         .groupBy(F.col("descendant").alias("code")).agg(F.min(F.struct("depth", "ancestor")).alias("near"))
     )
     return live.join(near, "code", "left").select("code", F.col("near.ancestor").alias("parent"))
+
+
+def closure_from_paths(paths: DataFrame, separator: str = ".") -> DataFrame:
+    """(ancestor, descendant, depth) from rows (code, path) whose path lists the codes from the root to the parent. No self pairs."""
+    steps = F.split("path", "[" + separator + "]")
+    rows = paths.select(F.col("code").alias("descendant"), F.size(steps).alias("n"), F.posexplode(steps).alias("at", "ancestor")).filter("ancestor <> '' AND ancestor <> descendant")
+    return rows.groupBy("ancestor", "descendant").agg(F.min(F.col("n") - F.col("at")).alias("depth"))
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
+    """(code, round) of all codes within ``rounds`` edges of the seeds, in either direction; it stops early if nothing is new."""
+    both = settled(edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).unionByName(edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))).distinct())
+    front = settled(seeds.select("code").distinct().withColumn("round", F.lit(0)))
+    known = front
+    for k in range(1, rounds + 1):
+        step = front.join(both, F.col("code") == F.col("a")).select(F.col("b").alias("code")).distinct()
+        front = settled(step.join(known, "code", "left_anti").withColumn("round", F.lit(k)))
+        if not front.take(1):
+            break
+        known = known.unionByName(front)
+    return known
+
+
+def has_cycle(pairs: DataFrame) -> DataFrame:
+    """Codes that are their own strict ancestors."""
+    return pairs.filter("ancestor = descendant").select(F.col("ancestor").alias("code"))

@@ -35,7 +35,7 @@ def expire(state: DataFrame, seen: str, cutoff) -> DataFrame:
 def tumbling(events: DataFrame, size: str = "1 day", late: str | None = None) -> DataFrame:
     """Counts and sums by window and type; with ``late`` a streaming input's windows close when the watermark has passed them."""
     if late:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # watermarks need a zoned time
     out = events.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
