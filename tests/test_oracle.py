@@ -29,7 +29,7 @@ def tidy(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     cur = duck.execute(catalog.ORACLE[name])
