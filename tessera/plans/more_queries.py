@@ -8,7 +8,7 @@ from tessera.functions import text, versions
 from tessera.operators import catalogues as cat
 from tessera.operators import filters as fl
 from tessera.operators import hierarchy as h
-from tessera.operators import maps, status
+from tessera.operators import definitions, maps, status
 from tessera.plans.hierarchy_queries import CONCEPT, EDGE, MAP, PART, REL
 from tessera.session import table
 from tessera.sources import terminology as t
@@ -172,3 +172,35 @@ def conversation_roles(spark, d):
 def artefact_three_way(spark, d):
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"""WITH {REL}, g AS (SELECT source, grp, string_agg(DISTINCT rel || '=' || target, ',' ORDER BY rel || '=' || target) AS form FROM rel GROUP BY ALL)
+SELECT source AS code, count(DISTINCT form) AS n_groups, sha256(string_agg(DISTINCT form, ';' ORDER BY form)) AS form FROM g GROUP BY source""")
+def definition_normal_forms(spark, d):
+    return definitions.normal_forms(t.relationships(spark, d))
+
+
+@query("""WITH g AS (SELECT DISTINCT l_partkey AS k, l_returnflag || '=' || l_linestatus AS form FROM lineitem), f AS (SELECT k, sha256(string_agg(form, ';' ORDER BY form)) AS form FROM g GROUP BY k)
+SELECT form, count(*) AS n, min('P' || k) AS first FROM f GROUP BY form HAVING count(*) > 1""")
+def definition_equivalents(spark, d):
+    """Parts by the set of (return flag, line status) they were sold under."""
+    li = table(spark, d, "lineitem")
+    rels = li.select(F.concat(F.lit("P"), _s("l_partkey")).alias("source"), F.lit(0).alias("grp"), F.col("l_returnflag").alias("rel"), F.col("l_linestatus").alias("target"))
+    return definitions.equivalents(rels)
+
+
+@query("SELECT 'P' || l_partkey AS code FROM (SELECT DISTINCT l_partkey, l_returnflag, l_linestatus FROM lineitem) WHERE (l_returnflag, l_linestatus) IN (('R', 'F'), ('N', 'O')) GROUP BY 1 HAVING count(*) = 2")
+def definition_candidates(spark, d):
+    li = table(spark, d, "lineitem")
+    rels = li.select(F.concat(F.lit("P"), _s("l_partkey")).alias("source"), F.col("l_returnflag").alias("rel"), F.col("l_linestatus").alias("target"))
+    return definitions.defined_by(rels, spark.sql("SELECT * FROM VALUES ('R', 'F'), ('N', 'O') AS w(rel, target)"))
+
+
+@query("""WITH h AS (SELECT DISTINCT p_brand AS name, (p_size % 4) || '.' || (p_size % 11) || '.' || (p_size % 3) AS version FROM part)
+SELECT name, arg_max(version, (split_part(version, '.', 2)::INT, split_part(version, '.', 3)::INT)) AS version FROM h WHERE starts_with(version, '1.') GROUP BY name""")
+def best_matching_version(spark, d):
+    """The newest version of each name that fits 1.x."""
+    p = table(spark, d, "part")
+    v = F.concat(_s(F.col("p_size") % 4), F.lit("."), _s(F.col("p_size") % 11), F.lit("."), _s(F.col("p_size") % 3))
+    have = p.select(F.col("p_brand").alias("name"), v.alias("version")).filter(versions.matches(F.col("version"), F.lit("1.x.x")))
+    return have.groupBy("name").agg(F.max_by("version", versions.semver_key(F.col("version"))).alias("version"))
