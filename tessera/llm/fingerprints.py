@@ -121,10 +121,19 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     first = {r["bucket"]: r["key"] for r in docs.select("key").withColumn("bucket", place("key")).groupBy("bucket").agg(F.max("key").alias("key")).collect()}
     order = sorted(first)
+    starts = np.array(sorted(first.values()), "int64")
     before = {first[b]: order[k - 1] for k, b in enumerate(order)}  # a range's first key -> the range before, round the end
-    guest = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("key")] if before else F.lit(None).cast("int")
-    own = docs.withColumn("bucket", place("key"))
-    spread = own.withColumn("to", F.explode(F.when(guest.isNull(), F.array(F.struct("bucket", F.lit(0).alias("guest")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("guest")), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))))))
+    range_before = [before[int(k)] for k in starts]
+
+    @F.arrow_udf("int")
+    def guest_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            at = np.searchsorted(starts, np.asarray(a))
+            yield pa.array([range_before[k] if k < len(starts) and starts[k] == x else None for k, x in zip(at, np.asarray(a), strict=True)], pa.int32())
+
+    own = docs.withColumn("bucket", place("key")).withColumn("host", guest_of("key"))
+    mine, visit = F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest"))
+    spread = own.withColumn("to", F.explode(F.when(F.col("host").isNull(), F.array(mine)).otherwise(F.array(mine, visit))))
     rows = spread.select("to.bucket", "to.guest", "key", "doc_id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "text")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
