@@ -15,13 +15,14 @@ only followed while its points can still be the earliest of some component.
    no other has (the nearest to what its group has in common) is checked against the others too.
 4. What a bucket still holds apart is then checked pairwise, if one-bit signatures allow the similarity. In a bucket with
    more than ``SMALL_BUCKET`` members, what a bag shares with others at all bounds its overlaps: members that this keeps from
-   any link go first (exactly), the rest is split by a second shared band (also a large bucket's: who shares a small one meets there), and the bound holds for each pair as well.
+   any link go first (exactly), and the bound holds for each pair as well. A pair is made once, in the first band that it shares, whatever the bucket's size.
 5. Every link was verified on the bags themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -184,7 +185,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         first = first.unionByName(middle)
         joined = components(first, "near-joined")
         apart = _several(members, joined)
-    second = verified(_apart(apart, crowd, least), "near-more")
+    second = verified(_apart(apart, crowd, stand, least), "near-more")
     final = components(first.unionByName(second), "near-final") if second.take(1) else joined
     named = stand.select("h1", "h2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
     return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "class_id", "h1")
@@ -228,27 +229,28 @@ def _middle(apart: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
     return m.join(middle, ["band", "key"]).filter(F.col("c") != F.col("a.c")).filter(near).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _apart(m: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
+def _apart(m: DataFrame, crowd: DataFrame, stand: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of one bucket that aren't in one component and of which neither is the bucket's smallest (those were checked)."""
     m = m.filter("rep <> head")
-    small = m.filter(F.col("n") <= SMALL_BUCKET).select("band", "key", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"), "rep", "bits", "c", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("shared"))
+    unbound = F.lit(None).cast("long")
+    small = m.filter(F.col("n") <= SMALL_BUCKET).select("band", "key", "rep", "bits", "c", unbound.alias("size"), unbound.alias("shared"))
     large = m.filter(F.col("n") > SMALL_BUCKET).join(crowd, "rep")
     most = large.groupBy("band", "key").agg(F.min("size").alias("smallest"), F.max(F.col("shared") * (1 + least) - F.col("size") * least).alias("spare"))
     partner = F.greatest(F.col("smallest").cast("double"), F.col("size") * least)  # the smallest that a partner in the bucket can be
     large = large.join(most, ["band", "key"]).filter(_can_be_near(F.col("shared"), F.col("size") + partner, least)).filter(F.col("spare") >= F.col("size") * least - 1e-6)
-    # the second band is a large bucket's too: who shares a small one meets there
-    others = large.groupBy("rep").agg(F.collect_list(F.struct(F.col("band").alias("band2"), F.col("key").alias("key2"))).alias("others"))
-    large = large.join(others, "rep").select("band", "key", "rep", "bits", "c", "size", "shared", F.inline("others")).filter("band2 > band")
     both = small.unionByName(large.select(*small.columns))
-    on = ["band", "key", "band2", "key2"]
+    on = ["band", "key"]
     mixed = both.groupBy(*on).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select(*on)
-    both = durable(both.join(mixed, on), "near-both")
-    a, b = (both.withColumnsRenamed({"rep": x, **{k: f"{k}_{x}" for k in ("c", "bits", "size", "shared")}}) for x in "ab")
+    both = durable(both.join(mixed, on).join(stand.select("rep", "bands"), "rep"), "near-both")
+    a, b = (both.withColumnsRenamed({"rep": x, **{k: f"{k}_{x}" for k in ("c", "bits", "size", "shared", "bands")}}) for x in "ab")
     bits = BANDS * ROWS
     differ = (1 - least) / 2
     unlike = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(bits // 64))
-    near = F.col("size_a").isNull() | _can_be_near(F.least("shared_a", "shared_b"), F.col("size_a") + F.col("size_b"), least)
-    return a.join(b, on).filter("a < b AND c_a <> c_b").filter(near).filter(unlike <= bits * differ + UNLIKE_DEVIATIONS * (bits * differ * (1 - differ)) ** 0.5).select("a", "b").distinct()
+    near = F.col("size_a").isNull() | F.col("size_b").isNull() | _can_be_near(F.least("shared_a", "shared_b"), F.col("size_a") + F.col("size_b"), least)
+    # who is gone from the first band that a pair shares was checked there or can't be near, so no other band need make the pair
+    sooner = reduce(Column.__or__, [(F.col("band") > k) & (F.col("bands_a")[k] == F.col("bands_b")[k]) for k in range(BANDS - 1)])
+    like = unlike <= bits * differ + UNLIKE_DEVIATIONS * (bits * differ * (1 - differ)) ** 0.5
+    return a.join(b, on).filter("a < b AND c_a <> c_b").filter(near).filter(like).filter(~sooner).select("a", "b")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,37 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
     assert near_duplicates.near_duplicate_classes(docs(spark, [])).count() == 0
 
 
+def one_shared_band():
+    """Texts of one bucket, all unlike but the last two: these share no other band, and are neither its first nor the member with the least of its own."""
+
+    def changed(at, n, seed):
+        return [*x[:at], *words(n, seed, 10**9).split(), *x[at + n :]]
+
+    def keys(texts):
+        return near_duplicates.bands(near_duplicates.signatures([near_duplicates.bag(" ".join(t)) for t in texts]))
+
+    x = words(150, 1, 10**9).split()
+    mine = keys([x])[0]
+    near = [changed(50, 12, s) for s in range(2, 2500)]  # 130 of 162 shingles
+    same = keys(near) == mine
+    for k in np.flatnonzero(same.sum(1) == 1):
+        band = int(same[k].argmax())
+        inner = [x[a : a + 120] for a in range(31)]  # wholly of x's shingles
+        others = [changed(100 - s % 90, 17, 10_000 + s) for s in range(120)]
+        inner = [t for t, b in zip(inner, keys(inner), strict=True) if b[band] == mine[band]]
+        others = [t for t, b in zip(others, keys(others), strict=True) if b[band] == mine[band]]
+        if inner and len(others) > 3:
+            return [" ".join(t) for t in (*others[:4], inner[0], x, near[k])]
+
+
+def test_a_pair_of_one_shared_band_is_found(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", 4)
+    rows = list(enumerate(one_shared_band()))
+    out = near_duplicates.near_duplicate_classes(docs(spark, rows)).collect()
+    assert brute(rows) == sorted([([k], 0) for k in range(5)] + [([5, 6], 0)])
+    assert {r["doc_id"]: r["class_id"] for r in out} == {**{k: k for k in range(6)}, 6: 5}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     off = []
