@@ -32,18 +32,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class: the one of the smallest id (of rows that repeat this id, one; of a text that has no id, one)."""
-    docs = docs.select(*COLUMNS)
-    classes = near_duplicates.near_duplicate_classes(docs)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    with_id = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if repeated.take(1):
-        with_id = with_id.dropDuplicates(["doc_id"])
-    if not classes.filter("class_id IS NULL").take(1):
-        return with_id
-    # texts of which no row has an id
-    return with_id.unionByName(docs.filter("doc_id IS NULL").join(with_id.select("text").distinct(), "text", "left_anti").dropDuplicates(["text"]).select(*COLUMNS))
+    """Keeps one document of each near-duplicate class: one of the smallest id (of a class that has no id, any one)."""
+    return near_duplicates.first_of_classes(docs.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ interval's halves. A point belongs to a random one of the signature's components
 earliest point. Equal components of two bags are then as likely as the bags are similar. A process is
 only followed while its points can still be the earliest of some component.
 
-1. Texts with the same words are one class at once, by a 128-bit hash; only one stands for each.
+1. Texts with the same words are one class at once, by a 128-bit hash, whatever their ids; only one stands for each.
 2. Representatives that share a band meet in a bucket. Each bucket's smallest is checked against the others
    (links in proportion to the rows, whatever the bucket's size), and the links are closed into components.
 3. In a bucket of more than ``SMALL_BUCKET`` members that still has several components, the member with the least that
@@ -108,12 +108,30 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(both / total) if total else 0.0
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str, value: Column | None = None) -> DataFrame:
+    """(doc_id, x1, x2, text): the id as a long, 128 bits over the text, the text or another value."""
+    text = text_of(text_col)
+    value = text if value is None else value
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(1), text).alias("x2"), value.alias("text"))
+
+
+def rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One of the ``rows`` for each (doc_id, x1, x2) in ``wanted``, with the columns of both."""
+    key = ["doc_id", "x1", "x2"]
+    named = rows.filter("doc_id IS NOT NULL").join(wanted.filter("doc_id IS NOT NULL"), key)
+    if named.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").take(1):
+        named = named.dropDuplicates(key)
+    # copies without an id go before the join, since they all have its key
+    free = rows.filter("doc_id IS NULL").dropDuplicates(key[1:]).join(wanted.filter("doc_id IS NULL").drop("doc_id"), key[1:])
+    return named.unionByName(free)
+
+
 def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h1, h2, bands, bits, size) of each row: the hash of its words in order, its band keys and one-bit signature (none without a word), its shingles."""
+    """(doc_id, x1, x2, h1, h2, bands, bits, size) of each row: the hash of its text, that of its words in order, its band keys and one-bit signature (none without a word), its shingles."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, 1, HELD_BYTES):
-            texts = b.column(1).to_pylist()
+        for b in by_bytes(batches, 3, HELD_BYTES):
+            texts = b.column(3).to_pylist()
             runs = [shingles(t) for t in texts]
             full = [k for k, r in enumerate(runs) if len(r)]
             keys: list = [[] for _ in runs]
@@ -123,9 +141,9 @@ def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 for k, row, bit in zip(full, bands(signed), one_bit(signed), strict=True):
                     keys[k], bits[k] = row, bit
             h1, h2 = zip(*(order_hash(r if len(r) else np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64")) for t, r in zip(texts, runs, strict=True)), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array([len(r) for r in runs], pa.int64())], names=["doc_id", "h1", "h2", "bands", "bits", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array([len(r) for r in runs], pa.int64())], names=["doc_id", "x1", "x2", "h1", "h2", "bands", "bits", "size"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(sketched, "doc_id long, h1 long, h2 long, bands array<long>, bits array<long>, size long")
+    return _keyed(df, id_col, text_col).mapInArrow(sketched, "doc_id long, x1 long, x2 long, h1 long, h2 long, bands array<long>, bits array<long>, size long")
 
 
 def order_hash(x: np.ndarray) -> tuple[int, int]:
@@ -160,16 +178,36 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     """(doc_id, class_id, h1): one row for each row of ``df``; class_id is the smallest id of its class.
 
     Classes are the components of the links of similarity ``least`` or more. Texts without a word (null, empty, marks only)
-    are one class with those of exactly the same text (null as empty). Rows with a null id join the class of their text, and have a null
-    class_id if it has no other rows. Repeated rows each keep a row. An empty table gives none; other columns are not read.
+    are one class with those of exactly the same text (null as empty). Rows with a null id are compared as all others; a class of only such rows has a
+    null class_id. An id on several texts names each of their classes. What tells all classes apart is h1, the hash of the words of the class's first text.
+    Repeated rows each keep a row. An empty table gives none; other columns are not read.
+    """
+    rows, named = _classes(df, id_col, text_col, least)
+    named = named.select("h1", "h2", F.col("keep.doc_id").alias("class_id"), F.col("keep.h1").alias("class_h1"))
+    return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "class_id", F.col("class_h1").alias("h1"))
+
+
+def first_of_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row of each class of ``near_duplicate_classes``, with all its columns: one of the smallest id (of a class without ids, any)."""
+    _, named = _classes(df, id_col, text_col, least)
+    kept = named.filter(F.col("first") == F.col("keep")).select("keep.doc_id", "keep.x1", "keep.x2")
+    return rows_of(_keyed(df, id_col, text_col, F.struct(*df.columns)), durable(kept, "near-kept")).select("text.*")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and (h1, h2, first, keep) of each run of words: its first row's id and text, and those of its class.
+
+    Each run of words is a node ``rep``, whatever ids it has.
     """
     rows = durable(sketch(df, id_col, text_col), "near-sketch")
-    stand = durable(rows.filter("doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("size").alias("size")), "near-stand")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x1", "x2", "h1")).alias("first")
+    stand = rows.groupBy("h1", "h2").agg(first, F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("size").alias("size"))
+    stand = durable(stand.withColumn("rep", F.monotonically_increasing_id()), "near-stand")
     keys = stand.select("rep", "bits", F.posexplode("bands").alias("band", "key"))
     heads = keys.groupBy("band", "key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).filter("n > 1")
     members = durable(keys.join(heads, ["band", "key"]), "near-members")  # only what shares a band
-    texts = df.select(F.col(id_col).cast("long").alias("rep"), text_of(text_col).alias("text"))
-    texts = durable(texts.join(members.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "near-texts")
+    met = stand.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "first.doc_id", "first.x1", "first.x2")
+    texts = durable(rows_of(_keyed(df, id_col, text_col), met).select("rep", "text"), "near-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
@@ -187,8 +225,11 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
         apart = _several(members, joined)
     second = verified(_apart(apart, crowd, stand, least), "near-more")
     final = components(first.unionByName(second), "near-final") if second.take(1) else joined
-    named = stand.select("h1", "h2", "rep").join(final, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
-    return rows.select("doc_id", "h1", "h2").join(named, ["h1", "h2"], "left").select("doc_id", "class_id", "h1")
+    linked = durable(stand.select("rep", "first").join(final, F.col("rep") == F.col("node")).select("rep", "component", "first"), "near-linked")
+    least_of = linked.groupBy("component").agg(F.min("first").alias("keep"))
+    keep = linked.select("rep", "component").join(least_of, "component").select("rep", "keep")
+    named = stand.select("h1", "h2", "rep", "first").join(keep, "rep", "left").select("h1", "h2", "first", F.coalesce("keep", "first").alias("keep"))
+    return rows, named
 
 
 def _several(members: DataFrame, joined: DataFrame) -> DataFrame:

@@ -102,6 +102,27 @@ def test_a_pair_of_one_shared_band_is_found(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in out} == {**{k: k for k in range(6)}, 6: 5}
 
 
+def wide(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+
+
+def test_rows_without_an_id_are_near_duplicates_too(spark):
+    base, other, third = words(150, 1), words(150, 2), words(150, 3)
+    rows = [(7, base), (None, base + " more"), (None, base.upper()), (None, other), (None, other + " more"), (None, other), (9, third), (8, third + " more")]
+    out = near_duplicates.near_duplicate_classes(docs(spark, rows)).collect()
+    assert len(out) == len(rows) and len({r["h1"] for r in out}) == 3
+    assert sorted((r["doc_id"], r["class_id"]) for r in out if r["doc_id"]) == [(7, 7), (8, 8), (9, 8)]
+    assert sorted(str(r["class_id"]) for r in out if r["doc_id"] is None) == ["7", "7", "None", "None", "None"]
+    for lone in (rows, [r for r in rows if r[1][:9] != other[:9]]):
+        kept = corpus_pipeline.near_duplicate(spark, wide(spark, lone), SF)
+        assert kept.columns == corpus_pipeline.COLUMNS
+        kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert {x for x in kept if x[0]} == {(7, base), (8, third + " more")}
+        assert [t[:9] for d, t in kept if d is None] == ([other[:9]] if lone is rows else [])
+    apart = corpus_pipeline.near_duplicate(spark, wide(spark, [(None, base), (None, base + " more"), (None, third)]), SF)
+    assert apart.count() == 2
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     off = []
