@@ -123,6 +123,17 @@ def test_rows_without_an_id_are_near_duplicates_too(spark):
     assert apart.count() == 2
 
 
+def test_an_id_on_different_texts(spark):
+    base, other = words(150, 1), words(150, 2)
+    rows = [(1, base), (1, other), (2, base + " more"), (3, other + " more"), (1, base)]
+    out = near_duplicates.near_duplicate_classes(docs(spark, rows)).collect()
+    assert [r["class_id"] for r in out] == [1] * 5
+    h = {d: {r["h1"] for r in out if r["doc_id"] == d} for d in (1, 2, 3)}
+    assert h[2] | h[3] == h[1] and len(h[1]) == 2
+    kept = corpus_pipeline.near_duplicate(spark, wide(spark, rows), SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, base), (1, other)])
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     off = []
