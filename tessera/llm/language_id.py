@@ -162,14 +162,17 @@ class Labeller:
         return [tuple(x) for x in out]
 
     def constant(self, s: np.ndarray) -> np.ndarray | None:
-        """The path without a switch, if no stretch of any other language gains more than one switch costs (then it is the best path)."""
+        """The path without a switch, if no stretch of any other language gains more than half of what a switch costs.
+
+        Then it is the best path: m stretches need m - 1 switches at least, which two or more can't pay, and one that covers all gains nothing.
+        """
         if not len(s):
             return np.zeros(0, "int64")
-        best = int(s.sum(0).argmax())
+        best = int(s.sum(0, dtype="float64").argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype="float64")
         low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
         low = np.vstack([np.zeros((1, s.shape[1])), low[:-1]])
-        return np.full(len(s), best) if (gain - low).max() <= self.penalty else None
+        return np.full(len(s), best) if (gain - low).max() <= self.penalty / 2 else None
 
     def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """Best paths of many texts, one word position of all of them at a time."""

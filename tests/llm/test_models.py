@@ -32,6 +32,13 @@ def test_viterbi_is_the_best_path():
             assert abs(value(s, list(c)) - best) < 1e-9
 
 
+def test_two_languages_with_a_third_between():
+    lab = li.Labeller(li.Model({}, {}, {}), 12.0)
+    s = np.array([[0.0, -6, -2]] * 5 + [[-6.0, 0, -2]] * 5)
+    assert lab.constant(s) is None and list(lab.viterbi([s])[0]) == [0] * 5 + [1] * 5
+    assert list(lab.constant(s[:5])) == [0] * 5
+
+
 def test_language_cases(spark):
     m = small_model(spark)
     rows = [(1, None, ""), (2, "", ""), (3, "12 ½ !", ""), (4, "the dog", ""), (5, "собака", ""), (6, "中文", ""), (7, "the dog and the cat " * 8 + "die katze und der hund " * 8, ""), (7, "the dog", ""), (8, "the dog " * 30000, "")]
