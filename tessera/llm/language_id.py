@@ -5,7 +5,8 @@ candidates. A word's score for a candidate is its log probability under the lang
 character trigrams, relative to the best candidate and floored. A Viterbi search over the
 words of a text, with a penalty for each switch, labels every word; runs of one label are
 the spans, and the language with the most letters is the text's. The score is its share of
-the letters.
+the letters. The score only compares languages; the fit tells whether the text is in any of them: the share
+of its words' trigrams (by letters) that the label's language was seen to use.
 
 The trigram tables are fitted on a bounded sample of labelled rows: at most ``PER_LANGUAGE``
 texts of each language, those of the smallest hash of their id. Everything else covers all rows.
@@ -91,8 +92,8 @@ class Model:
                 self.allowed[s] = ok
         self.first = int(np.argmax([docs.get(x, 0) for x in self.langs])) if n else 0
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Scores of words: at most 0, the best candidate's is 0; all 0 where nothing is known of a script."""
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words: at most 0, the best candidate's is 0; all 0 where nothing is known of a script. And the share of each word's trigrams that each language has."""
         lower = [w.lower() for w in words]
         lens = np.array([len(w) for w in lower], "int64")
         codes = codes_of("^" + "$^".join(lower) + "$")
@@ -102,11 +103,13 @@ class Model:
         codes = codes[keep]
         at = np.searchsorted(self.codes, codes)
         at = np.where(self.codes[at] == codes, at, len(self.codes) - 1)
-        total = np.add.reduceat(self.gain[at], np.cumsum(lens) - lens) + lens[:, None] * self.floors
+        gain = self.gain[at]
+        total = np.add.reduceat(gain, np.cumsum(lens) - lens) + lens[:, None] * self.floors
+        seen = np.add.reduceat(gain > 0, np.cumsum(lens) - lens, dtype="float32") / lens[:, None]
         ok = np.array([self.candidates(next(filter(str.isalpha, w), "")) for w in words]).reshape(len(words), len(self.langs))
         best = np.where(ok, total, -np.inf).max(1, keepdims=True)
         scores = np.maximum(np.where(ok, total - best, -np.inf), np.where(ok, FLOOR, 2 * FLOOR))
-        return np.where(ok.any(1, keepdims=True), scores, 0).astype("float32")
+        return np.where(ok.any(1, keepdims=True), scores, 0).astype("float32"), seen.astype("float32")
 
     def candidates(self, letter: str) -> np.ndarray:
         if (ok := self.by_letter.get(letter)) is None:
@@ -126,6 +129,7 @@ class Labeller:
     def clear(self) -> None:
         self.index.clear()
         self.table = np.zeros((1024, len(self.model.langs)), "float32")
+        self.seen = self.table.copy()
         self.letters = np.zeros(1024, "int64")
 
     def learn(self, words: set[str]) -> None:
@@ -133,16 +137,17 @@ class Labeller:
         if need > len(self.letters):
             more = max(need, 2 * len(self.letters)) - len(self.letters)
             self.table = np.vstack([self.table, np.zeros((more, self.table.shape[1]), "float32")])
+            self.seen = np.vstack([self.seen, np.zeros((more, self.table.shape[1]), "float32")])
             self.letters = np.append(self.letters, np.zeros(more, "int64"))
         start = len(self.index)
         new = list(words)
         if new:
-            self.table[start:need] = self.model.words(new)
+            self.table[start:need], self.seen[start:need] = self.model.words(new)
             self.letters[start:need] = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]
             self.index.update(zip(new, range(start, need), strict=True))
 
-    def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each list of words: the label of each word, and its letters."""
+    def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each list of words: the label of each word, its letters, and the share of its trigrams that the label's language has."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
         index = self.index
@@ -156,10 +161,10 @@ class Labeller:
             path = self.constant(s)
             if path is None:
                 hard.append((k, s))
-            out.append([path, letters[ids]])
+            out.append([path, letters[ids], ids])
         for (k, _), path in zip(hard, self.viterbi([s for _, s in hard]), strict=True):
             out[k][0] = path
-        return [tuple(x) for x in out]
+        return [(path, n, self.seen[ids, path]) for path, n, ids in out]
 
     def constant(self, s: np.ndarray) -> np.ndarray | None:
         """The path without a switch, if no stretch of any other language gains more than half of what a switch costs.
@@ -257,13 +262,13 @@ def labeller(key: str, model: Model, penalty: float) -> Labeller:
 
 
 def identify(col: Column | str, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False) -> Column:
-    """A struct of ``lang`` and ``score`` of a text column; with ``spans`` also ``spans``, an array of (start, end, lang) in code points.
+    """A struct of ``lang``, ``score`` and ``fit`` of a text column; with ``spans`` also ``spans``, an array of (start, end, lang) in code points.
 
-    Null texts and texts without a letter are ``und`` with score 0, as is every text if no language was learned.
+    Null texts and texts without a letter are ``und`` with score and fit 0, as is every text if no language was learned.
     A text whose scripts no learned language uses gets the most frequent language with score 0.
     """
     key = uuid.uuid4().hex
-    schema = "struct<lang string, score double" + (", spans array<struct<start int, end int, lang string>>>" if spans else ">")
+    schema = "struct<lang string, score double, fit double" + (", spans array<struct<start int, end int, lang string>>>" if spans else ">")
 
     @F.arrow_udf(schema)
     def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -272,8 +277,8 @@ def identify(col: Column | str, model: Model, penalty: float = SWITCH_PENALTY, s
             rows: list = []
             for part in by_bytes([pa.RecordBatch.from_arrays([a], ["t"])], 0, HELD_BYTES):
                 rows += one(mine, part.column(0).to_pylist())
-            cols = list(zip(*rows, strict=True)) if rows else [()] * (2 + spans)
-            fields = [("lang", pa.string()), ("score", pa.float64())]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * (3 + spans)
+            fields = [("lang", pa.string()), ("score", pa.float64()), ("fit", pa.float64())]
             if spans:
                 fields.append(("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
@@ -282,16 +287,17 @@ def identify(col: Column | str, model: Model, penalty: float = SWITCH_PENALTY, s
         langs = model.langs
         words = [_WORD.findall(t) if t else [] for t in texts]
         out = []
-        for text, (path, letters) in zip(texts, mine.label(words) if langs else [(None, np.zeros(0))] * len(texts), strict=True):
+        for text, (path, letters, seen) in zip(texts, mine.label(words) if langs else [(None, np.zeros(0), None)] * len(texts), strict=True):
             total = int(letters.sum())
             if not total:
-                out.append((UNKNOWN, 0.0, []) if spans else (UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0.0, []) if spans else (UNKNOWN, 0.0, 0.0))
                 continue
             by = np.bincount(path, letters, len(langs))
             k, score = int(by.argmax()), float(by.max() / total)
             if not any(script_of(c) in model.allowed for c in set(text) if c.isalpha()):
                 k, score = model.first, 0.0
-            out.append((langs[k], score, list(runs(text, path))) if spans else (langs[k], score))
+            fit = float(letters @ seen / total)
+            out.append((langs[k], score, fit, list(runs(text, path))) if spans else (langs[k], score, fit))
         return out
 
     def runs(text: str, path: np.ndarray) -> Iterator[dict]:
@@ -306,13 +312,13 @@ def identify(col: Column | str, model: Model, penalty: float = SWITCH_PENALTY, s
 
 
 def with_language(df: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY, spans: bool = False) -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score`` (and ``spans``).
+    """``df`` with ``lang_pred``, ``score`` and ``fit`` (and ``spans``).
 
     See ``identify`` for nulls and empty texts. Texts of any length are read whole, repeated rows each keep a row,
     columns of these names are replaced and others pass untouched, an empty table gives an empty table.
     """
     out = df.withColumn("_found", identify(F.col(text_col).cast("string"), model, penalty, spans))
-    out = out.withColumn("lang_pred", F.col("_found.lang")).withColumn("score", F.col("_found.score"))
+    out = out.withColumn("lang_pred", F.col("_found.lang")).withColumn("score", F.col("_found.score")).withColumn("fit", F.col("_found.fit"))
     if spans:
         out = out.withColumn("spans", F.col("_found.spans"))
     return out.drop("_found")

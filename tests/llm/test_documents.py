@@ -249,6 +249,15 @@ def test_license_cases(spark):
     assert partly is not None and 0.7 <= partly["containment"] < 1
 
 
+def test_language_stage_rejects_what_was_never_learned(spark):
+    r = random.Random(1)
+    noise = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(90))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem"
+    clean = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 200").orderBy("doc_id").first()["text"]
+    kept = corpus_pipeline.language(spark, wide(spark, [(1, noise), (2, polish), (3, clean)]), SF)
+    assert [x["doc_id"] for x in kept.collect()] == [3]
+
+
 def test_pipeline_stages(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(900001, None, None, None, None), (900002, "", "en", "s", 0), (900003, "123 456", "en", "s", 7)], table.schema)
