@@ -70,12 +70,13 @@ def masked(values: DataFrame, masks: DataFrame, value: str) -> DataFrame:
     """(value, mask) where the mask equals the value, or is its start followed by *. Masks without a * meet by equality; the others, a
     configured list, meet by their starts: each value offers its starts of the lengths in use, so the join has keys."""
     ends = masks.filter(F.col("mask").endswith("*")).select("mask", F.expr("substring(mask, 1, length(mask) - 1)").alias("head"))
-    lengths = [r[0] for r in ends.select(F.length("head")).distinct().limit(1000).collect()]
+    lengths = [r[0] for r in ends.select(F.length("head")).distinct().collect()]  # no more than the longest mask's
     v = values.select(value).distinct()
     exact = v.join(masks.filter(~F.col("mask").endswith("*")).distinct(), F.col(value) == F.col("mask"))
     if not lengths:
         return exact.select(value, "mask")
-    heads = v.select(value, F.explode(F.array_distinct(F.array(*[F.expr(f"substring({value}, 1, {n})") for n in lengths]))).alias("head"))
+    fits = F.filter(F.lit(lengths), lambda n: n <= F.length(value))
+    heads = v.select(value, F.explode(F.transform(fits, lambda n: F.col(value).substr(F.lit(1), n))).alias("head"))
     return exact.select(value, "mask").unionByName(heads.join(ends, "head").select(value, "mask")).distinct()
 
 

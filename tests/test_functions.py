@@ -74,3 +74,11 @@ def test_definitions(spark):
     with pytest.raises(ValueError, match="not supported"):
         got(Filter("p", "near", "1"))
     assert resolved_version("1", override="2") == ("2", None) and resolved_version("1.2", check="2.x")[1] is not None
+
+
+def test_masks_of_more_than_a_thousand_lengths(spark):
+    from tessera.operators import catalogues
+
+    rules = spark.createDataFrame([(n, "x" * n + "*", n % 2 == 1) for n in range(1300, 0, -1)] + [(5000, "*", False)], "ord int, mask string, allowed boolean")
+    values = spark.createDataFrame([("x" * n,) for n in (1, 2, 700, 1299, 1300)] + [("y",), (None,)], "v string")
+    assert catalogues.masked(values, rules.select("mask"), "v").count() == 1 + 2 + 700 + 1299 + 1300 + 6
