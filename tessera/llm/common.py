@@ -20,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local default if unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED
+    """The folder all executors share: ``spark.checkpoint.dir``; on one machine a local default if unset, on a cluster an error."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return path or LOCAL_SHARED
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +54,12 @@ def _remove() -> None:
             return
 
 
+def with_fields(df: DataFrame, value: Column, names: dict[str, str]) -> DataFrame:
+    """``df`` with columns taken from fields of one struct, which is computed once; no other column is touched."""
+    held = f"_{uuid.uuid4().hex}"
+    return df.withColumn(held, value).withColumns({name: F.col(held)[field] for name, field in names.items()}).drop(held)
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -1,8 +1,9 @@
 """Token counts of whole texts: batch encoding inside an Arrow function that returns lengths only.
 
 Only the text column goes to Python and only one number a row comes back; every other
-column stays in the JVM. A batch is cut by bytes (not rows), long texts are cut at safe
-boundaries (see ``safe_chunks``), and the library is called on lists of equal size in bytes.
+column stays in the JVM. A batch is cut by bytes (not rows) before any of it becomes a Python string, long texts are
+cut at safe boundaries where the tokenizer's file shows that they are safe (see ``safe_chunks``), and the library is called on lists of
+about equal size in bytes. A text without such a boundary (no white space, no stop after letters) is one piece.
 There is no shuffle: the work follows the input splits.
 """
 
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_of
-from tessera.llm.safe_chunks import WITHOUT_SPACE, PieceCache, pieces
+from tessera.llm.common import by_bytes, table, text_of
+from tessera.llm.safe_chunks import PieceCache, cutter
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -27,50 +28,48 @@ _COUNTERS: dict[str, PieceCache] = {}
 
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies on this machine (each executor asks for itself)."""
+    if "/" in name:
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def library(name: str):
+    """The tokenizers library's tokenizer of a name or path, without threads of its own."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path(name))
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 def _counter(name: str) -> PieceCache:
     """The worker's counter, loaded once and reused across tasks."""
     if name not in _COUNTERS:
-        path = tokenizer_path(name) if "/" not in name else name
+        path = tokenizer_path(name)
         if path.endswith(".model"):
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             # a sentencepiece model adds a prefix to each text, so these texts are encoded whole
-            _COUNTERS[name] = PieceCache(lambda xs: [len(i) for i in sp.encode(xs, num_threads=1)], 0)
+            _COUNTERS[name] = PieceCache(lambda xs: [len(i) for i in sp.encode(xs, num_threads=1)], None)
         else:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            _COUNTERS[name] = PieceCache(lambda xs: [len(e.ids) for e in t.encode_batch_fast(xs, add_special_tokens=False)])
+            t = library(name)
+            _COUNTERS[name] = PieceCache(lambda xs: [len(e.ids) for e in t.encode_batch_fast(xs, add_special_tokens=False)], cutter(path))
     return _COUNTERS[name]
 
 
 def count_batch(texts: list[str | None], name: str) -> list[int]:
     """Token counts of a list of texts; a null counts as empty."""
     counter = _counter(name)
-    whole = counter.most == 0
-    out: list[int] = []
-    at = 0
-    while at < len(texts):
-        held, size = [], 0
-        while at < len(texts) and (not held or size < HELD_BYTES):
-            t = texts[at] or ""
-            held.append([t] if whole else pieces(t, WITHOUT_SPACE))
-            size += len(t)
-            at += 1
-        known = counter.learn(held)
-        out.extend(sum(map(known.__getitem__, x)) for x in held)
-        if whole:
-            counter.known = {}
-    return out
+    held = [counter.cut(t or "") for t in texts]
+    known = counter.learn(held)
+    return [sum(map(known.__getitem__, x)) for x in held]
 
 
 def token_count(col: Column | str, tokenizer: str = TOKENIZER) -> Column:
@@ -84,7 +83,10 @@ def token_count(col: Column | str, tokenizer: str = TOKENIZER) -> Column:
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
-            yield pa.array(count_batch(a.to_pylist(), tokenizer), pa.int64())
+            out: list[int] = []
+            for part in by_bytes([pa.RecordBatch.from_arrays([a], ["t"])], 0, HELD_BYTES):
+                out += count_batch(part.column(0).to_pylist(), tokenizer)
+            yield pa.array(out, pa.int64())
 
     return counted(col)
 

@@ -28,6 +28,38 @@ def test_counts_equal_the_library():
     assert token_counts.count_batch(xs, token_counts.TOKENIZER) == [len(t.encode(x or "", add_special_tokens=False).ids) for x in xs]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_cut_texts_count_as_whole_ones(name):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    random.seed(11)
+    bits = [*BITS, "。", "、", "かな", "한국어", "漢字", "\u3000", "\u2028", "\u200b", "\u180e", "\x0b", "'ll", "don't", "<|endoftext|", "ab", "12", "...", ". ", ", "]
+    xs = ["".join(random.choice(bits) for _ in range(random.randint(0, 24))) for _ in range(6000)] + ["漢字かな。" * 3000, "x" * 5000]
+    assert token_counts.count_batch(xs, name) == [len(t.encode(x, add_special_tokens=False).ids) for x in xs]
+
+
+def test_batches_are_balanced_by_bytes():
+    from tessera.llm import safe_chunks
+
+    lists = list(safe_chunks.balanced(["é" * 10] * 50 + ["a" * 500], 100))
+    assert [sum(len(x.encode()) for x in part) for part in lists] == [100] * 10 + [500]
+
+
+def test_an_unknown_tokenizer_is_not_cut(tmp_path):
+    import json
+
+    from tessera.llm import safe_chunks
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = None
+    path = tmp_path / "plain.json"
+    path.write_text(json.dumps(spec))
+    assert safe_chunks.cutter(str(path)) is None
+    t = Tokenizer.from_file(str(path))
+    xs = texts(200)
+    assert token_counts.count_batch(xs, str(path)) == [len(t.encode(x, add_special_tokens=False).ids) for x in xs]
+
+
 def test_counts_on_rows(spark):
     rows = token_counts.with_token_counts(edge(spark)).collect()
     t = Tokenizer.from_file(public_tokenizers.path(token_counts.TOKENIZER))
