@@ -8,7 +8,7 @@ allowed, the piece with the largest dot product is cut to fill the rest; what is
 the end of a partition is cut into lengths that are powers of two, which need no padding.
 
 Tokenising and packing happen in one pass over each input partition, so there is no
-shuffle, and a task holds at most ``POOL`` waiting pieces shorter than a sequence. A
+shuffle, and a task holds at most ``2 * POOL`` waiting pieces shorter than a sequence, each with its own ids only. A
 sequence never spans partitions; each partition ends with at most a few short ones.
 Sequence ids carry the partition number, so they are unique, and a task that is run
 again over the same split gives the same rows.
@@ -16,8 +16,9 @@ again over the same split gives the same rows.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +26,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_of
+from tessera.llm.common import by_bytes, table, text_of
+from tessera.llm.safe_chunks import WITH_SPACE, PieceCache, cutter
+from tessera.llm.token_counts import library, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS, MAX_SEGMENTS = 1024, 256
 #: The id that ends a document.
 END_ID = 0
-#: Pieces that wait for a place in a partition, at most.
+ID_BYTES = 4
+#: Fixed value: how byte-level tokenizers split a text before merging.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces that wait for a place in a partition after a look at them; twice as many before.
 POOL = 256
+#: Bytes of text that are encoded at once.
+HELD_BYTES = 2 << 20
 _PART_BITS = 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
 class Packer:
-    """Places pieces of one partition's examples; ``done`` holds rows (key, start, length, payload, sequence, offset, loss).
+    """Places pieces of one partition's examples; ``done`` holds rows (key, total, start, length, crc, sequence, offset, loss).
 
-    An example is (key, n_tokens, n_prompt, payload): tokens from ``n_prompt`` on bear loss.
+    An example is (key, its ids as bytes, n_prompt): tokens from ``n_prompt`` on bear loss. A waiting piece is
+    (key, total, start, length, n_prompt, its own ids).
     """
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int, cut: bool, first_id: int):
@@ -48,8 +57,7 @@ class Packer:
             raise ValueError("every limit must be at least 1")
         self.cap = (max_tokens, max_segments, max_loss)
         self.cut, self.next_id = cut, first_id
-        self.pool: list[tuple] = []  # (key, start, length, n_prompt, payload)
-        self.demand = np.zeros((0, 2))
+        self.pool: list[tuple] = []
         self.done: list[tuple] = []
 
     @staticmethod
@@ -58,23 +66,29 @@ class Packer:
 
     def fitting(self, piece: tuple, tokens: int, loss: int) -> int:
         """How many of the piece's leading tokens fit into the given rest of a sequence."""
-        _, start, length, prompt, _ = piece
+        _, _, start, length, prompt, _ = piece
         return min(length, tokens, max(0, prompt - start) + loss)
 
-    def add(self, key, n_tokens: int, n_prompt: int, payload) -> None:
-        start = 0
+    @staticmethod
+    def split(piece: tuple, n: int) -> tuple[tuple, tuple]:
+        """The first ``n`` tokens of a piece, and the rest."""
+        key, total, start, length, prompt, ids = piece
+        return (key, total, start, n, prompt, ids[: ID_BYTES * n]), (key, total, start + n, length - n, prompt, ids[ID_BYTES * n :])
+
+    def add(self, key, ids: bytes, n_prompt: int) -> None:
+        view, total, start = memoryview(ids), len(ids) // ID_BYTES, 0
         while True:  # what fills a sequence alone needs no search
-            piece = (key, start, n_tokens - start, n_prompt, payload)
+            piece = (key, total, start, total - start, n_prompt, view[ID_BYTES * start :])
             room = self.fitting(piece, self.cap[0], self.cap[2])
-            if room == piece[2] and room < self.cap[0]:
+            if room == piece[3] and room < self.cap[0]:
                 break
-            if not self.cut and start == 0 and room < n_tokens:
+            if not self.cut and start == 0 and room < total:
                 raise ValueError(f"example {key!r} exceeds a sequence and cutting is off")
-            self.emit([(key, start, room, n_prompt, payload)])
+            self.emit([self.split(piece, room)[0]])
             start += room
-            if start == n_tokens:
+            if start == total:
                 return
-        self.pool.append(piece)
+        self.pool.append((*piece[:5], bytes(piece[5])))
         if len(self.pool) >= 2 * POOL:
             self.drain(POOL)
 
@@ -82,8 +96,8 @@ class Packer:
         """Fill sequences until at most ``leave`` pieces wait."""
         c_tok, c_seg, c_loss = self.cap
         pool = self.pool
-        tok = np.array([p[2] for p in pool], float)
-        loss = np.array([self.loss(p[1], p[2], p[3]) for p in pool], float)
+        tok = np.array([p[3] for p in pool], float)
+        loss = np.array([self.loss(p[2], p[3], p[4]) for p in pool], float)
         live = np.ones(len(pool), bool)
         left = len(pool)
         while left > leave:
@@ -94,27 +108,26 @@ class Packer:
                 if fits.any():
                     k = int(np.argmax(np.where(fits, gain, -1.0)))
                     inside.append(pool[k])
-                    tokens, segments, bearing = tokens - pool[k][2], segments - 1, bearing - int(loss[k])
+                    tokens, segments, bearing = tokens - pool[k][3], segments - 1, bearing - int(loss[k])
                     live[k] = False
                     left -= 1
                     continue
                 if not self.cut:
                     break
                 k = int(np.argmax(np.where(live, gain, -1.0)))
-                key, start, length, prompt, payload = pool[k]
                 n = self.fitting(pool[k], tokens, bearing)
                 if not n:
                     break
-                inside.append((key, start, n, prompt, payload))
-                tokens, segments, bearing = tokens - n, segments - 1, bearing - self.loss(start, n, prompt)
-                pool[k] = (key, start + n, length - n, prompt, payload)
-                tok[k], loss[k] = length - n, self.loss(start + n, length - n, prompt)
+                part, pool[k] = self.split(pool[k], n)
+                inside.append(part)
+                tokens, segments, bearing = tokens - n, segments - 1, bearing - self.loss(*part[2:5])
+                tok[k], loss[k] = pool[k][3], self.loss(*pool[k][2:5])
             self.finish(inside)
         self.pool = [p for p, x in zip(pool, live, strict=True) if x]
 
     def finish(self, inside: list[tuple]) -> None:
         """Emit a sequence; if it is short and may be cut, as lengths that are powers of two."""
-        total = sum(p[2] for p in inside)
+        total = sum(p[3] for p in inside)
         if not self.cut or total == self.cap[0] or total & (total - 1) == 0:
             self.emit(inside)
             return
@@ -124,42 +137,77 @@ class Packer:
             total -= size
             part = []
             while size:
-                key, start, length, prompt, payload = waiting.pop()
-                n = min(size, length)
-                part.append((key, start, n, prompt, payload))
+                piece = waiting.pop()
+                n = min(size, piece[3])
+                first, rest = self.split(piece, n)
+                part.append(first)
                 size -= n
-                if n < length:
-                    waiting.append((key, start + n, length - n, prompt, payload))
+                if rest[3]:
+                    waiting.append(rest)
             self.emit(part)
 
     def emit(self, inside: list[tuple]) -> None:
         offset = 0
-        for key, start, length, prompt, payload in inside:
-            self.done.append((key, start, length, payload, self.next_id, offset, self.loss(start, length, prompt)))
+        for key, total, start, length, prompt, ids in inside:
+            self.done.append((key, total, start, length, zlib.crc32(ids), self.next_id, offset, self.loss(start, length, prompt)))
             offset += length
         self.next_id += 1
 
 
-_ENCODERS: dict = {}
+_ENCODERS: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
-def _encoder(name: str):
-    """The worker's byte-level encoder: text to unsigned 32-bit ids.
+def byte_letters() -> dict[str, int]:
+    """The byte for which each letter of a byte-level vocabulary stands: itself if it prints in Latin-1, else the next one from 256 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-    The vocabulary file of the same name with the ending ``.tiktoken`` holds the same ids as ranks;
-    the special string of the vocabulary is matched in texts as the other library does by default.
-    """
-    if name not in _ENCODERS:
-        import base64
 
-        import public_tokenizers
-        import tiktoken
+def _ranked(path: str) -> Callable[[list[str]], list[bytes]] | None:
+    """A faster encoder of the same ids for a byte-level file whose ids follow the order of its merges; None for any other file.
 
-        with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-        _ENCODERS[name] = lambda text: enc.encode_to_numpy(text, allowed_special="all").astype("<u4")
-    return _ENCODERS[name]
+    Merging by least id is then the same as merging by the first rule. The vocabulary and special strings are the file's own.
+    """
+    if cutter(path) is not WITH_SPACE:
+        return None
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab = spec["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    letters = byte_letters()
+    words = {w: i for w, i in vocab.items() if w not in special}
+    odd = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges", "type") and v}
+    if made != sorted(made) or len(set(made)) + 256 != len(words) or odd or not all(c in letters for w in words for c in w):
+        return None
+    ranks = {bytes(map(letters.__getitem__, w)): i for w, i in words.items()}
+    enc = tiktoken.Encoding(path, pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return lambda texts: [enc.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
+
+
+def _cached(path: str) -> Callable[[list[str]], list[bytes]]:
+    """The tokenizers library on pieces of texts, each of which is encoded once."""
+    t = library(path)
+    cache = PieceCache(lambda xs: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)], cutter(path))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        held = [cache.cut(t) for t in texts]
+        known = cache.learn(held)
+        return [b"".join(map(known.__getitem__, x)) for x in held]
+
+    return encode
+
+
+def encode_batch(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
+    """The ids of each text by a tokenizers file as little-endian unsigned 32-bit bytes, without an end id. A worker loads a file once."""
+    if name not in _ENCODERS:
+        path = tokenizer_path(name)
+        _ENCODERS[name] = _ranked(path) or _cached(path)
+    return _ENCODERS[name](texts)
 
 
 def pack_documents(
@@ -186,24 +234,22 @@ def pack_documents(
     limits = (max_tokens, max_segments, max_loss or max_tokens, cut)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
-        end = np.array([END_ID], "<u4")
+        end = np.array([END_ID], "<u4").tobytes()
         packer = Packer(*limits, TaskContext.get().partitionId() << _PART_BITS)
-        for batch in batches:
-            for key, prompt, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                head = encode(prompt) if prompt else end[:0]
-                ids = np.concatenate([head, encode(text), end]) if len(head) else np.append(encode(text), end)
-                packer.add(key, len(ids), len(head), ids.tobytes())
-            yield out(packer)
+        for whole in batches:
+            for batch in by_bytes([whole], 2, HELD_BYTES):
+                keys, prompts, texts = (batch.column(i).to_pylist() for i in range(3))
+                heads = encode_batch(prompts, tokenizer) if any(prompts) else [b""] * len(keys)
+                for key, head, ids in zip(keys, heads, encode_batch(texts, tokenizer), strict=True):
+                    packer.add(key, head + ids + end, len(head) // ID_BYTES)
+                yield out(packer)
         packer.drain()
         yield out(packer)
 
     def out(packer: Packer) -> pa.RecordBatch:
         rows, packer.done = packer.done, []
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        keys, starts, lengths, payloads, seqs, offsets, losses = cols
-        crcs = [zlib.crc32(memoryview(p)[4 * s : 4 * (s + n)]) for p, s, n in zip(payloads, starts, lengths, strict=True)]
-        totals = [len(p) // 4 for p in payloads]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+        keys, totals, starts, lengths, crcs, seqs, offsets, losses = cols
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, starts, lengths, crcs, totals, seqs, offsets, losses)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     prompt = text_of(prompt_col) if prompt_col else F.lit("")

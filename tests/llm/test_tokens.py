@@ -150,10 +150,10 @@ def test_all_three_limits_hold():
     p = packing.Packer(64, 3, 20, True, 0)
     items = [(k, random.randint(1, 200), random.randint(0, 60)) for k in range(900)]
     for k, n, prompt in items:
-        p.add(k, n, min(prompt, n), None)
+        p.add(k, bytes(4 * n), min(prompt, n))
     p.drain()
     seen, seqs = {}, {}
-    for key, start, length, _, seq, offset, loss in p.done:
+    for key, _, start, length, _, seq, offset, loss in p.done:
         seen.setdefault(key, []).append((start, length))
         seqs.setdefault(seq, []).append((offset, length, loss))
     for k, n, _ in items:
@@ -166,6 +166,21 @@ def test_all_three_limits_hold():
         assert sum(x[1] for x in s) <= 64 and len(s) <= 3 and sum(x[2] for x in s) <= 20
 
 
+@pytest.mark.parametrize("make", [packing._ranked, packing._cached])
+def test_both_encoders_equal_the_library(make):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    xs = [*texts(6000), "word " * 500, "x" * 2000, "漢字" * 300]
+    assert make(path)(xs) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in xs]
+
+
+def test_waiting_pieces_hold_their_own_ids_only():
+    p = packing.Packer(64, 8, 64, True, 0)
+    for k in range(300):
+        p.add(k, bytes(4 * (6400 + k % 60 + 1)), 0)
+        assert all(len(x[5]) == 4 * x[3] <= 4 * 63 for x in p.pool) and len(p.pool) <= 2 * packing.POOL
+
+
 def test_whole_examples_with_prompts(spark):
     rows = spark.createDataFrame([(k, "question " * (k % 9), "answer " * (k % 30 + 1)) for k in range(200)], "doc_id long, prompt string, text string")
     out = packing.pack_documents(rows, prompt_col="prompt", max_tokens=128, max_segments=4, max_loss=64, cut=False).collect()
