@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, table, text_of
+from tessera.llm.common import by_bytes, table, text_of, with_fields
 from tessera.llm.safe_chunks import _PLAIN, CACHE_PIECES
 
 MODEL = "piece_bpe_32k.model"
@@ -33,8 +33,8 @@ SPACE = "▁"
 _RUN = SPACE * 2
 #: Remembered compatibility answers, at most, per worker.
 CACHE_PAIRS = 250_000
-#: Ids that a worker hands back in one batch, about (rows are cut by their text's bytes).
-HELD_BYTES = 2 << 20
+#: Bytes of text whose ids and decoded texts a worker holds as Python objects at once.
+HELD_BYTES = 1 << 20
 
 
 class Vocabulary:
@@ -168,12 +168,12 @@ class Vocabulary:
         for end, (size, i) in self.automaton.iter(text):
             longest[end - size + 1] = i  # ends come in order, so the last is the longest
         out: list[int] = []
-        open_at = (1 << (n + 1)) - 1
+        failed = bytearray((n >> 3) + 1)  # one bit for each position
         at, i = 0, longest[0]
         fits, length = self.fits, self.length
         while at < n:
             end = at + length[i]
-            if open_at >> end & 1:
+            if not failed[end >> 3] >> (end & 7) & 1:
                 if out:
                     ok = fits.get((out[-1], i))
                     if ok is None:
@@ -189,7 +189,7 @@ class Vocabulary:
             if (j := self.shorter.get(i)) is not None:
                 i = j
             else:  # nothing fits here after the piece before: step back and try a shorter one there
-                open_at &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("the vocabulary can't encode this text")
                 i = out.pop()
@@ -273,18 +273,30 @@ def vocabulary(name: str = MODEL) -> Vocabulary:
     return _LOADED[name]
 
 
-def encode(col: Column | str, model: str = MODEL, end: bool = True) -> Column:
-    """Ids of a text column as ``array<int>``, with an end id unless ``end`` is false. A null or empty text has that id alone."""
+def encode_decode(col: Column | str, model: str = MODEL, end: bool = True) -> Column:
+    """A struct of ``ids`` (with an end id unless ``end`` is false) and ``decoded``, the text of those ids.
+
+    One function does both, so a task has one Python worker and one set of tables. A null or empty text has the end id alone.
+    """
 
-    @F.arrow_udf("array<int>")
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<ids array<int>, decoded string>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(model)
         tail = [v.end_id] if end else []
         for a in batches:
-            parts = [pa.array([v.encode(t) + tail if t else tail for t in b.column(0).to_pylist()], pa.list_(pa.int32())) for b in by_bytes([pa.RecordBatch.from_arrays([a], ["t"])], 0, HELD_BYTES)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            parts = []
+            for b in by_bytes([pa.RecordBatch.from_arrays([a], ["t"])], 0, HELD_BYTES):
+                ids = [v.encode(t) + tail if t else tail for t in b.column(0).to_pylist()]
+                text = pa.array(map(v.decode, ids), pa.string())
+                parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), text], names=["ids", "decoded"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
 
-    return encoded.asNondeterministic()(col)  # evaluated once, however often its column is used
+    return coded.asNondeterministic()(col)  # evaluated once, however often its fields are used
+
+
+def encode(col: Column | str, model: str = MODEL, end: bool = True) -> Column:
+    """Ids of a text column as ``array<int>``; see ``encode_decode``."""
+    return encode_decode(col, model, end)["ids"]
 
 
 def decode(col: Column | str, model: str = MODEL) -> Column:
@@ -305,7 +317,7 @@ def with_pieces(df: DataFrame, text_col: str = "text", model: str = MODEL) -> Da
     Null texts count as empty; texts are encoded whole, whatever their length; repeated rows each keep a row;
     columns already named ``ids`` or ``decoded`` are replaced, others pass untouched; no rows give no rows.
     """
-    return df.withColumn("ids", encode(text_of(text_col), model)).withColumn("decoded", decode("ids", model))
+    return with_fields(df, encode_decode(text_of(text_col), model), {"ids": "ids", "decoded": "decoded"})
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,20 @@ def test_backtracking_equals_merging():
         assert [v.piece[i] for i in v.backtrack(x)] == v.merge(x)
 
 
+def test_long_runs_take_linear_time(library):
+    import time
+
+    v = sp.vocabulary()
+    random.seed(2)
+    took = []
+    for n in (100_000, 400_000):
+        x = "".join(random.choice("aeinrsthdlou") for _ in range(n))
+        start = time.process_time()
+        ids = v.encode(x)
+        took.append(time.process_time() - start)
+    assert v.decode(ids) == x and took[1] < 8 * took[0] + 0.5
+
+
 def test_decode_of_any_ids(library):
     random.seed(5)
     v = sp.vocabulary()
