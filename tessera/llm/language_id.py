@@ -25,12 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, table
+from tessera.llm.common import by_bytes, table, with_fields
 
 #: Labelled texts of each language in the fit, at most.
 PER_LANGUAGE = 1500
-#: Trigrams in the fitted table, at most (those seen most often).
-MAX_GRAMS = 200_000
 SWITCH_PENALTY = 12.0
 #: A word's score relative to the best language is no lower than this.
 FLOOR = -6.0
@@ -217,7 +215,7 @@ class Labeller:
         return out
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MAX_GRAMS) -> Model:
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from ``rows`` (doc_id, text, lang): at most ``per_language`` texts of each non-null lang, by hash of doc_id."""
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     docs = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -245,7 +243,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MAX_
     totals = sample.mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, Counter] = {x: Counter() for x in docs}
     scripts: dict[str, Counter] = {x: Counter() for x in docs}
-    for r in totals.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).collect():
+    for r in totals.collect():  # every trigram and script of the bounded sample
         (counts if r["gram"][0] == "g" else scripts)[r["lang"]][r["gram"][1:]] = r["n"]
     return Model(counts, scripts, docs)
 
@@ -317,11 +315,8 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", penalty:
     See ``identify`` for nulls and empty texts. Texts of any length are read whole, repeated rows each keep a row,
     columns of these names are replaced and others pass untouched, an empty table gives an empty table.
     """
-    out = df.withColumn("_found", identify(F.col(text_col).cast("string"), model, penalty, spans))
-    out = out.withColumn("lang_pred", F.col("_found.lang")).withColumn("score", F.col("_found.score")).withColumn("fit", F.col("_found.fit"))
-    if spans:
-        out = out.withColumn("spans", F.col("_found.spans"))
-    return out.drop("_found")
+    names = {"lang_pred": "lang", "score": "score", "fit": "fit"} | ({"spans": "spans"} if spans else {})
+    return with_fields(df, identify(F.col(text_col).cast("string"), model, penalty, spans), names)
 
 
 def held_out() -> Column:

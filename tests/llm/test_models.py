@@ -32,6 +32,36 @@ def test_viterbi_is_the_best_path():
             assert abs(value(s, list(c)) - best) < 1e-9
 
 
+def test_labels_equal_exhaustive_search():
+    rng = np.random.default_rng(5)
+    short = 0
+    for k in range(10_000):
+        n, langs, penalty = int(rng.integers(1, 7)), int(rng.integers(2, 5)), float(rng.uniform(0.2, 8))
+        s = rng.uniform(-4, 0, (n, langs))
+        if k % 3 == 0:  # stretches of one language each, with others close behind
+            s = np.repeat(s[: (n + 1) // 2], 2, axis=0)[:n]
+        s -= s.max(1, keepdims=True)
+        paths = np.array(list(itertools.product(range(langs), repeat=n)))
+        value = s[np.arange(n), paths].sum(1) - penalty * (np.diff(paths, axis=1) != 0).sum(1)
+        lab = li.Labeller(li.Model({}, {}, {}), penalty)
+        path = lab.constant(s)
+        short += path is not None
+        path = lab.viterbi([s])[0] if path is None else path
+        got = s[np.arange(n), path].sum() - penalty * (np.diff(path) != 0).sum()
+        assert abs(got - value.max()) < 1e-6
+    assert 500 < short < 9_500  # both ways were taken
+
+
+def test_no_column_of_the_caller_is_lost(spark):
+    from pyspark.sql import functions as F
+
+    base = docs(spark, [(1, "the dog", "x")]).withColumns({c: F.lit(1) for c in ("_found", "fit", "score", "spans", "lang_pred")})
+    row = li.with_language(base, small_model(spark), spans=True).first()
+    assert (row["_found"], row["lang"], row["lang_pred"]) == (1, "x", "en") and row["score"] > 0 and len(row["spans"]) == 1
+    row = tx.with_toxicity(base, tx.prior_model()).first()
+    assert row["_found"] == 1 and row["predicted"] == 0
+
+
 def test_two_languages_with_a_third_between():
     lab = li.Labeller(li.Model({}, {}, {}), 12.0)
     s = np.array([[0.0, -6, -2]] * 5 + [[-6.0, 0, -2]] * 5)
