@@ -1,21 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A clause becomes a string of word classes: insult, threat, target, negation, reported
-speech, other. Five small transducers read it and are composed into one machine: negation marks
-the insults and threats in its reach, reported speech those after it, a target those beside
-it (read in both directions, so that a target may follow), and the insult and threat
-transducers emit a match with these marks. A match, not a word, carries the weight: a clause's
-weight is its stem's weight plus what its marks add or take.
-
-Insult stems are learned: prefixes of words that mark toxic training texts, chosen one by one by how
-much of what is not yet explained they explain, so that words shared only by copies of one
-text add nothing. The marks' weights are fitted by logistic regression around the grammar's own.
+speech, other. Five small transducers read it and are composed into one machine: the insult and threat
+transducers emit a match, negation and report mark the matches in their reach, and the target transducer marks a match
+that has a target before it or after it. The arcs' weights are those of the marks, and a clause is scored once: its heaviest
+stem, and each mark's weight once (a clause counts as negated or reported only if all its matches are). Ten hits in a clause are one matched clause.
+
+A text's score comes from its heaviest clause and from the logarithm of the number of clauses that stand
+(an insult that is neither negated nor reported, or a threat to a target); no count is cut off.
+
+Insult stems are learned from clauses, each different clause counting once, so that copies of a text add nothing:
+prefixes of words by how many clauses of toxic texts they explain that no stem before explained, times their log odds. The marks' weights are
+fitted by logistic regression around the grammar's own, on each text's heaviest clause.
 Both use at most ``PER_CLASS`` labelled texts of each label, those of the smallest hash of their id;
 everything else covers all rows. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 from collections import Counter
@@ -30,29 +33,30 @@ from tessera.llm.common import by_bytes, durable, table
 
 #: Labelled texts of each label in the fit, at most.
 PER_CLASS = 4000
-#: Learned stems and candidates for them, at most.
-MAX_STEMS, MAX_CANDIDATES = 256, 2000
-#: Toxic training texts that a candidate stem occurs in, at least, and its log odds.
-MIN_SUPPORT, MIN_ODDS = 5, 2.5
+#: Clauses of toxic training texts that a candidate stem occurs in, at least, and its log odds over clauses.
+MIN_SUPPORT, MIN_ODDS = 5, 2.0
+#: What a stem must explain: clauses of toxic texts times log odds.
+MIN_GAIN = 40.0
 STEM_MIN, STEM_MAX = 4, 14
 HELD_BYTES = 4 << 20
-#: Words of a clause on either side of a match that the grammar reads.
-REACH = 12
 
 # The grammar's own words (English, German, French, Spanish).
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb fool bastard idiota imbécile dummkopf estúpid abschaum".split()
-THREATS = "kill hurt destroy murder stab shoot beat burn töte umbring tuer frapper matar golpear".split()
+#: Threats as whole words, and as stems of words.
+THREATS = "kill hurt destroy murder stab shoot beat burn töte umbringen".split()
+THREAT_STEMS = "umbring umzubring umgebracht erschieß verprügel frapper matar golpear tuer".split()
 TARGETS = "you your u he she they them him her these those people du dich ihr euch sie tu vous toi ils tú usted ustedes vosotros ellos".split()
 NEGATIONS = "not never no n't isn't aren't don't nicht kein keine nie pas jamais ne nunca jamás tampoco".split()
 REPORTS = "said says wrote writes called quoted quote reported claimed sagte schrieb nannte dit écrit appelé dijo escribió llamó".split()
-#: Weights before any training: bias, stem weight, and what each mark of a match adds.
-PRIOR = {"bias": -3.0, "stem": 1.0, "directed": 0.7, "negated": -1.0, "reported": -1.0, "threat": 0.3, "threat_directed": 2.5}
+#: Weights before any training: bias, stem weight, what each mark adds, and the logarithm of the number of clauses that stand.
+PRIOR = {"bias": -3.0, "stem": 1.0, "directed": 0.7, "negated": -1.0, "reported": -1.0, "threat": 0.3, "threat_directed": 2.5, "more": 1.0}
 SEED_WEIGHT = 3.0
-#: How firmly the fit holds to the grammar's own weights.
-HOLD = 4.0
+#: How firmly the fit holds to the grammar's own weights, and how often heaviest clauses are chosen anew.
+HOLD, ROUNDS = 4.0, 4
 _END = re.compile(r"[.!?;:,\n|()\"“”«»]")
 _WORD = re.compile(r"\w+(?:'\w+)?")
-FEATURES = ["bias", "stem", "directed", "negated", "reported", "threat", "threat_directed"]
+_LETTERS = re.compile(r"[^\W\d_]+")
+FEATURES = ["bias", "stem", "directed", "negated", "reported", "threat", "threat_directed", "more"]
 
 
 class Transducer:
@@ -112,9 +116,41 @@ def emitter(symbol_: str, flag: str) -> Transducer:
     return Transducer(0, lambda s, symbol: (0, mark if symbol == symbol_ else _NONE))
 
 
-#: Left to right: matches with the negation, report or target before them. Right to left: a target after them.
-FORWARD = emitter("I", "insult").compose(emitter("V", "threat")).compose(within("N", 3, "negated")).compose(within("R", 8, "reported")).compose(within("T", 4, "directed")).compiled()
-BACKWARD = within("T", 3, "directed").compiled()
+def near(opener: str, before: int, after: int, flag: str) -> Transducer:
+    """Marks a clause in which an ``opener`` stands up to ``before`` words before an insult or threat, or up to ``after`` words after it."""
+    mark = frozenset([flag])
+
+    def step(state, symbol):
+        opened, matched = state
+        if symbol == opener:
+            return (before, max(0, matched - 1)), mark if matched else _NONE
+        if symbol in "IV":
+            return (max(0, opened - 1), after), mark if opened else _NONE
+        return (max(0, opened - 1), max(0, matched - 1)), _NONE
+
+    return Transducer((0, 0), step)
+
+
+#: The five machines, and their composition. Matches are marked where they stand, a target's mark also where the target follows.
+PARTS = [emitter("I", "insult"), emitter("V", "threat"), within("N", 3, "negated"), within("R", 8, "reported"), near("T", 4, 3, "directed")]
+
+
+def composed(parts: list[Transducer]) -> Transducer:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.compose(x)
+    return out.compiled()
+
+
+MACHINE = composed(PARTS)
+
+
+def clause_marks(string: str, machine: Transducer = MACHINE) -> frozenset:
+    """The marks of a clause: those of any place, but negated and reported only if all its matches are."""
+    places = machine.run(string)
+    matches = [m for m in places if m & {"insult", "threat"}]
+    some = frozenset().union(*places)
+    return some - {f for f in ("negated", "reported") if not all(f in m for m in matches)}
 
 
 class Model:
@@ -134,64 +170,73 @@ class Grammar:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         for w in THREATS:
-            self.automaton.add_word(w, ("V", w, 0.0))
+            self.automaton.add_word(w, ("V", w, 0.0, True))
+        for w in THREAT_STEMS:
+            self.automaton.add_word(w, ("V", w, 0.0, False))
         for w, x in model.stems.items():
-            self.automaton.add_word(w, ("I", w, x))
+            self.automaton.add_word(w, ("I", w, x, False))
         self.automaton.make_automaton()
         self.classes = {w: "T" for w in TARGETS} | {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS}
 
     def matches(self, text: str) -> Iterator[tuple[str, float, frozenset, int, int]]:
-        """(stem, weight, marks, start, end of the clause) of each word that starts with a stem, heaviest stem first."""
+        """(stem, weight, marks, start, end) of each clause with a word that starts with a stem; the stem is its heaviest."""
         low = text.lower()
         found: dict[int, tuple[str, str, float]] = {}
-        for end, (kind, stem, weight) in self.automaton.iter(low):
+        for end, (kind, stem, weight, whole) in self.automaton.iter(low):
             start = end - len(stem) + 1
             if start and (low[start - 1].isalnum() or low[start - 1] == "_"):
                 continue
-            if kind == "V" and len(low) > end + 1 and low[end + 1].isalnum():
+            if whole and len(low) > end + 1 and low[end + 1].isalnum():
                 continue
             if start not in found or found[start][2] < weight:
                 found[start] = (kind, stem, weight)
-        for start, (_, stem, weight) in sorted(found.items()):
-            left, right = self.clause(low, start)
+        right = -1
+        for start in sorted(found):
+            if start < right:
+                continue  # in the clause before
+            left, right = self.clause(low, start, max(right, 0))
             words = list(_WORD.finditer(low, left, right))
-            at = next((k for k, m in enumerate(words) if m.start() <= start < m.end()), None)
-            if at is None:
-                continue
-            lo = max(0, at - REACH)
-            near = words[lo : at + REACH + 1]
-            string = "".join(found[m.start()][0] if m.start() in found else self.classes.get(m[0], "O") for m in near)
-            marks = FORWARD.run(string)[at - lo] | BACKWARD.run(string[::-1])[::-1][at - lo]
-            yield stem, weight, marks, left, right
+            kinds = [found[m.start()][0] if m.start() in found else self.classes.get(m[0], "O") for m in words]
+            hits = [found[m.start()] for m in words if m.start() in found]
+            if hits:
+                _, stem, weight = max(hits, key=lambda h: h[2])
+                yield stem, weight, clause_marks("".join(kinds)), left, right
 
     @staticmethod
-    def clause(text: str, at: int, most: int = 400) -> tuple[int, int]:
-        """The clause around a position: up to the nearest ends, within ``most`` characters on each side."""
-        left = max(0, at - most)
-        for m in _END.finditer(text, left, at):
-            left = m.end()
-        m = _END.search(text, at, at + most)
-        return left, m.start() if m else min(len(text), at + most)
-
-    def features(self, text: str | None) -> list[float]:
-        """Sums over the matches of a text, bounded, in the order of ``FEATURES``."""
-        f = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    def clause(text: str, at: int, since: int = 0) -> tuple[int, int]:
+        """The clause around a position, whatever its length; it starts at ``since`` or later."""
+        back = _END.search(text[since:at][::-1])
+        m = _END.search(text, at)
+        return at - back.start() if back else since, m.start() if m else len(text)
+
+    def clauses(self, text: str | None) -> list[tuple[tuple[float, ...], int]]:
+        """The different feature vectors of a text's matched clauses (stem to threat_directed), each with its number of clauses."""
+        seen: Counter = Counter()
         for _, weight, marks, _, _ in self.matches(text or ""):
-            if "threat" in marks:
-                f[6 if "directed" in marks else 5] += 1
-                sign = 0
-            else:
-                f[1] += weight
-                sign = 1
-            f[2] += sign * ("directed" in marks)
-            f[3] += "negated" in marks
-            f[4] += "reported" in marks
-        return [f[0], min(f[1], 12.0), *(min(x, 4.0) for x in f[2:])]
+            seen[vector(weight, marks)] += 1
+        return list(seen.items())
 
     def score(self, text: str | None) -> float:
-        w = self.model.weights
-        z = sum(x * w[k] for x, k in zip(self.features(text), FEATURES, strict=True))
-        return float(1 / (1 + np.exp(-z)))
+        w = np.array([self.model.weights[k] for k in FEATURES])
+        return float(1 / (1 + np.exp(-w @ text_features(self.clauses(text), w))))
+
+
+def vector(weight: float, marks: frozenset) -> tuple[float, ...]:
+    """What a clause's marks are worth, in the order of ``FEATURES`` from stem to threat_directed."""
+    insult, directed = "insult" in marks, "directed" in marks
+    threat = "threat" in marks
+    return (weight if insult else 0.0, float(insult and directed), float("negated" in marks), float("reported" in marks), float(threat and not directed), float(threat and directed))
+
+
+def text_features(clauses: list[tuple[tuple[float, ...], int]], w: np.ndarray) -> np.ndarray:
+    """Bias, the heaviest clause's vector under weights ``w``, and the logarithm of the number of clauses that stand."""
+    f = np.zeros(len(FEATURES))
+    f[0] = 1.0
+    if clauses:
+        f[1:-1] = max((v for v, _ in clauses), key=lambda v: (float(w[1:-1] @ v), v))
+        stand = sum(n for v, n in clauses if v[5] or (v[0] and not v[2] and not v[3]))
+        f[-1] = np.log(max(1, stand))
+    return f
 
 
 _GRAMMARS: dict[str, Grammar] = {}
@@ -210,13 +255,30 @@ def prior_model() -> Model:
 
 def stems_of(text: str) -> set[str]:
     """Prefixes of a text's words."""
-    return {w[:n] for w in set(re.findall(r"[^\W\d_]+", text.lower())) for n in range(STEM_MIN, min(len(w), STEM_MAX) + 1)}
+    return {w[:n] for w in set(_LETTERS.findall(text.lower())) for n in range(STEM_MIN, min(len(w), STEM_MAX) + 1)}
 
 
-def fit(rows: DataFrame, per_class: int = PER_CLASS) -> Model:
+def different_clauses(rows: DataFrame) -> DataFrame:
+    """(clause, toxic) of each different clause of ``rows`` (text, toxic), its words lowered; toxic if any text that has it is."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_bytes([whole], 0, HELD_BYTES):
+                seen: dict[str, int] = {}
+                for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for c in _END.split((text or "").lower()):
+                        if len(c := " ".join(_LETTERS.findall(c))) >= STEM_MIN:
+                            seen[c] = max(toxic, seen.get(c, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int32())], names=["clause", "toxic"])
+
+    return rows.mapInArrow(cut, "clause string, toxic int").groupBy("clause").agg(F.max("toxic").alias("toxic"))
+
+
+def fit(rows: DataFrame) -> Model:
     """Learn from ``rows`` (text, toxic): a bounded sample, as the caller took it (see ``sample``)."""
     rows = durable(rows.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
-    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    clauses = durable(different_clauses(rows), "toxicity-clauses")
+    size = {r["toxic"]: r["n"] for r in clauses.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_tox, n_clean = size.get(1, 0), size.get(0, 0)
     if not n_tox or not n_clean:
         return prior_model()
@@ -224,8 +286,8 @@ def fit(rows: DataFrame, per_class: int = PER_CLASS) -> Model:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[toxic].update(stems_of(text or ""))
+            for clause, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[toxic].update(stems_of(clause))
         for toxic, c in enumerate(seen):
             keys = list(c)
             for k in range(0, len(keys), 50_000):
@@ -233,24 +295,26 @@ def fit(rows: DataFrame, per_class: int = PER_CLASS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([c[x] * toxic for x in part], pa.int64()), pa.array([c[x] * (1 - toxic) for x in part], pa.int64())], names=["stem", "tox", "clean"])
 
     odds = F.log((F.col("tox") + 0.5) / (n_tox + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
-    top = (
-        rows.mapInArrow(counted, "stem string, tox long, clean long")
+    marks_toxic = (F.col("tox") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS) & (F.col("tox") * F.col("odds") >= MIN_GAIN)
+    known = (
+        clauses.mapInArrow(counted, "stem string, tox long, clean long")
         .groupBy("stem").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
-        .withColumn("odds", odds)
-        .filter(((F.col("tox") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS)) | F.col("stem").isin(INSULTS))
-        .orderBy(F.desc("tox"), "stem").limit(MAX_CANDIDATES).collect()
+        .withColumn("odds", odds).filter(marks_toxic | F.col("stem").isin(INSULTS)).collect()
     )
-    candidates = {r["stem"]: (r["tox"], r["clean"], r["odds"]) for r in top}
-    hits = [(r["toxic"], r["hits"]) for r in rows.select("toxic", stem_hits(F.col("text"), list(candidates)).alias("hits")).collect()]
-    stems = choose(candidates, hits)
+    candidates = {r["stem"]: (r["tox"], r["clean"], r["odds"]) for r in sorted(known, key=lambda r: r["stem"])}
+    toxic = clauses.filter("toxic = 1").select("toxic", stem_hits(F.col("clause"), list(candidates)).alias("hits")).filter("size(hits) > 0")
+    stems = choose(candidates, [(r["toxic"], r["hits"]) for r in toxic.collect()])
     for w in INSULTS:
         tox, clean, o = candidates.get(w, (0, 0, 0.0))
         stems.setdefault(w, float(np.clip(o, 0, SEED_WEIGHT)) if tox + clean >= MIN_SUPPORT else SEED_WEIGHT)
     model = Model(stems, dict(PRIOR))
-    seen = rows.select("toxic", features(F.col("text"), model).alias("f")).collect()
-    x = np.array([r["f"] for r in seen], float)
+    seen = rows.select("toxic", clause_vectors(F.col("text"), model).alias("v")).collect()
     y = np.array([r["toxic"] for r in seen], float)
-    return Model(stems, dict(zip(FEATURES, logistic(x, y), strict=True)))
+    found = [[(tuple(c["vector"]), c["n"]) for c in r["v"]] for r in seen]
+    w = np.array([PRIOR[k] for k in FEATURES])
+    for _ in range(ROUNDS):
+        w = logistic(np.array([text_features(c, w) for c in found]), y)
+    return Model(stems, dict(zip(FEATURES, map(float, w), strict=True)))
 
 
 def stem_hits(col: Column, stems: list[str]) -> Column:
@@ -266,32 +330,30 @@ def stem_hits(col: Column, stems: list[str]) -> Column:
 
 
 def choose(candidates: dict[str, tuple[int, int, float]], hits: Iterable[tuple[int, list[int]]]) -> dict[str, float]:
-    """Stems one by one: each time the one that occurs in most of what is still unexplained, a text counting a quarter after each stem found in it.
+    """Stems with their log odds, one by one: each time the one with the most toxic clauses not yet explained, times its log odds.
 
-    Of stems that occur in the same texts the longest is taken. A stem in clean texts loses those. The sample is bounded, so this is too.
+    ``candidates`` holds (toxic clauses, clean ones, log odds) by stem, ``hits`` (1, places of the candidates) of toxic clauses.
+    Of stems that occur in the same clauses the longest is taken, then the first in order.
     """
     names = list(candidates)
-    hits = list(hits)
-    tox = [set(h) for t, h in hits if t == 1]
-    m = np.zeros((len(tox), len(names)), "float32")
-    for k, h in enumerate(tox):
-        m[k, list(h)] = 1
-    clean = np.zeros(len(names))
-    for t, h in hits:
-        if t == 0:
-            clean[h] += 1
-    rest = np.ones(len(tox), "float32")
-    length = np.array([len(x) for x in names]) / 1000
-    least = max(5.0, 0.004 * len(tox))
+    clauses: list[list[int]] = [[] for _ in names]
+    for k, h in enumerate(h for t, h in hits if t == 1):
+        for c in h:
+            clauses[c].append(k)
+    done: set[int] = set()
+    gain = lambda c: sum(k not in done for k in clauses[c]) * candidates[names[c]][2]
+    heap = [(-gain(c), -len(names[c]), c) for c in range(len(names))]
+    heapq.heapify(heap)
     out: dict[str, float] = {}
-    while len(out) < MAX_STEMS and names and len(tox):
-        gain = rest @ m - 3 * clean
-        gain[[k for k, x in enumerate(names) if x in out]] = -1
-        k = int(np.argmax(gain + length))
-        if gain[k] < least:
-            break
-        out[names[k]] = float(np.clip(candidates[names[k]][2], 0.5, 4.0))
-        rest *= np.where(m[:, k] > 0, 0.25, 1.0)
+    while heap:
+        old, size, c = heapq.heappop(heap)
+        if (now := -gain(c)) > -MIN_GAIN:
+            continue
+        if now > old:  # others explained some of it meanwhile
+            heapq.heappush(heap, (now, size, c))
+            continue
+        out[names[c]] = float(candidates[names[c]][2])
+        done.update(clauses[c])
     return out
 
 
@@ -310,12 +372,15 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     return w
 
 
-def features(col: Column, model: Model) -> Column:
-    @F.arrow_udf("array<double>")
+def clause_vectors(col: Column, model: Model) -> Column:
+    """The different vectors of a text's matched clauses, with their numbers, as an array of structs."""
+
+    @F.arrow_udf("array<struct<vector array<double>, n int>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         g = grammar(model)
+        kind = pa.list_(pa.struct([("vector", pa.list_(pa.float64())), ("n", pa.int32())]))
         for a in batches:
-            yield pa.array([g.features(t) for t in a.to_pylist()], pa.list_(pa.float64()))
+            yield pa.array([[{"vector": list(v), "n": n} for v, n in g.clauses(t)] for t in a.to_pylist()], kind)
 
     return found(col)
 
@@ -357,7 +422,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     ids = known.filter("toxic = 1").orderBy(*by_hash).limit(per_class).unionByName(known.filter("toxic = 0").orderBy(*by_hash).limit(per_class))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic")  # an id on many rows gives one
 
 
 def production_model(spark: SparkSession, sf_dir: str) -> Model:

@@ -110,6 +110,43 @@ def test_composition_runs_all_machines_at_once():
     assert [sorted(x) for x in both.run("NOIOI")] == [[], [], ["insult", "negated"], [], ["insult"]]
 
 
+def test_composed_machine_equals_the_five_run_apart():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        string = "".join(rng.choice(list("OITVNR"), int(rng.integers(0, 14)), p=[0.4, 0.2, 0.15, 0.1, 0.08, 0.07]))
+        apart = [frozenset().union(*marks) for marks in zip(*(m.run(string) for m in tx.PARTS), strict=True)]
+        assert tx.MACHINE.run(string) == apart
+        hits = [k for k, c in enumerate(string) if c in "IV"]
+        back = lambda k, c, n: c in string[max(0, k - n) : k]
+        want = {"I": "insult", "V": "threat"}
+        marks = {want[string[k]] for k in hits}
+        marks |= {"directed"} if any(back(k, "T", 4) or "T" in string[k + 1 : k + 4] for k in hits) else set()
+        marks |= {f for f, c, n in (("negated", "N", 3), ("reported", "R", 8)) if hits and all(back(k, c, n) for k in hits)}
+        seen = tx.clause_marks(string)
+        # a later match or target restarts the machine's count, so a target is never missed
+        assert seen == marks
+
+
+def test_a_clause_counts_once_whatever_its_length():
+    g = tx.Grammar(tx.prior_model())
+    assert g.score("idiot idiot idiot") == g.score("idiot") < g.score("idiot, idiot, idiot")
+    far = "word " * 3000
+    assert [(m[0], sorted(m[2])) for m in g.matches(far + "you are an idiot " + far)] == [("idiot", ["directed", "insult"])]
+    assert next(g.matches(far + "you are an idiot " + far))[3:] == (0, len(far) * 2 + 17)
+    assert sorted(next(g.matches("Ich werde dich umbringen"))[2]) == ["directed", "threat"]
+
+
+def test_copies_and_repeated_ids_add_nothing(spark):
+    copies = [(1, "alpha vileword beta. gamma delta", 1)] * 30 + [(k, f"clean{k} words only", 0) for k in range(2, 40)]
+    rows = spark.createDataFrame(copies, "doc_id long, text string, toxic int")
+    assert set(tx.fit(rows.select("text", "toxic")).stems) == set(tx.INSULTS)
+    labels = rows.select("doc_id", "toxic")
+    assert tx.sample(rows.select("doc_id", "text"), labels).count() == 39
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in str(k))  # noqa: E731  (a clause is its words' letters)
+    apart = [(k, f"left{name(k)} vileword right{name(k)}. gamma", 1) for k in range(30)] + [(k, f"clean{name(k)} words only", 0) for k in range(30, 90)]
+    assert "vileword" in tx.fit(spark.createDataFrame(apart, "doc_id long, text string, toxic int").select("text", "toxic")).stems
+
+
 def test_toxicity_rows(spark):
     rows = [(1, None, ""), (2, "", ""), (3, "you idiot " * 5000, ""), (3, "you idiot", ""), (4, "word " * 50000, "")]
     out = tx.with_toxicity(docs(spark, rows), tx.prior_model()).collect()
@@ -133,4 +170,5 @@ def test_toxicity_held_out(spark):
     a = [x["score"] for x in r if x["toxic"] == 1]
     b = [x["score"] for x in r if x["toxic"] == 0]
     assert np.mean([(x > y) + 0.5 * (x == y) for x in a for y in b]) > 0.75
+    assert np.mean([x >= 0.5 for x in a]) >= 0.8
     assert np.mean([x["predicted"] for x in r if x["toxic"] == 0]) < 0.02
