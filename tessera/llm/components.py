@@ -9,7 +9,7 @@ from tessera.llm.common import durable
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v): each v with the smallest of u and its neighbours. The minimum is taken before rows meet, so a hub costs no more than others."""
+    """pairs (u, v): each v with the smallest of u and its neighbours. The minimum is taken before rows meet; the rows of a hub meet it in a join that adaptive execution splits."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("u_"), F.least("u", "m").alias("m"))
     return pairs.join(least, F.col("u") == F.col("u_")).select("u", "v", "m")
 

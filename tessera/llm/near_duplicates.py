@@ -11,11 +11,11 @@ only followed while its points can still be the earliest of some component.
 1. Texts with the same words are one class at once, by a 128-bit hash, whatever their ids; only one stands for each.
 2. Representatives that share a band meet in a bucket. Each bucket's smallest is checked against the others
    (links in proportion to the rows, whatever the bucket's size), and the links are closed into components.
-3. In a bucket of more than ``SMALL_BUCKET`` members that still has several components, the member with the least that
+3. In a bucket that still has several components, the member with the least that
    no other has (the nearest to what its group has in common) is checked against the others too.
-4. What a bucket still holds apart is then checked pairwise, if one-bit signatures allow the similarity. In a bucket with
-   more than ``SMALL_BUCKET`` members, what a bag shares with others at all bounds its overlaps: members that this keeps from
-   any link go first (exactly), and the bound holds for each pair as well. A pair is made once, in the first band that it shares, whatever the bucket's size.
+4. What a bucket still holds apart is then checked pairwise, if one-bit signatures allow the similarity. What a bag shares with
+   others at all bounds its overlaps: members that this keeps from any link go first (exactly), and the bound holds for each pair as well.
+   A pair is made once, in the first band that it shares. One rule holds for buckets of every size.
 5. Every link was verified on the bags themselves.
 """
 
@@ -36,7 +36,6 @@ from tessera.llm.shingles import mix, shingles
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability 0.0007, one of 0.85 with 0.000003.
 BANDS, ROWS = 40, 8
-SMALL_BUCKET = 64
 #: A pair isn't checked in step 4 if its one-bit signatures differ in so many deviations more bits than bags just similar enough.
 UNLIKE_DEVIATIONS = 4.8
 HELD_BYTES = 1 << 20
@@ -233,14 +232,14 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float) -> tuple[D
 
 
 def _several(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """The members of buckets that have several components, each with its component c."""
-    m = members.join(joined, F.col("rep") == F.col("node"), "left").select("band", "key", "head", "n", "rep", "bits", F.coalesce("component", "rep").alias("c"))
+    """The members of buckets of more than two that have several components, each with its component c (of two, the head was checked against the other)."""
+    m = members.filter("n > 2").join(joined, F.col("rep") == F.col("node"), "left").select("band", "key", "head", "n", "rep", "bits", F.coalesce("component", "rep").alias("c"))
     split = m.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("band", "key")
     return durable(m.join(split, ["band", "key"]), "near-apart")
 
 
 def _crowd(apart: DataFrame, stand: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rep, size, shared) of each member of a large bucket: its shingles, and those of them that any other such member has."""
+    """(rep, size, shared) of each member of a split bucket: its shingles, and those of them that any other such member has."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1, HELD_BYTES):  # what many of a batch share is one row
@@ -250,7 +249,7 @@ def _crowd(apart: DataFrame, stand: DataFrame, texts: DataFrame) -> DataFrame:
             times = np.concatenate([x[1] for x in bags])[first]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h.view("int64"), n, rep, times)], names=["h", "n", "rep", "times"])
 
-    crowd = apart.filter(F.col("n") > SMALL_BUCKET).select("rep").distinct()
+    crowd = apart.select("rep").distinct()
     rows = texts.join(crowd, "rep", "left_semi").select("rep", "text").mapInArrow(counted, "h long, n long, rep long, times long")
     once = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"), F.min("times").alias("times")).filter("n = 1")
     own = once.groupBy("rep").agg(F.sum("times").alias("own"))
@@ -263,8 +262,8 @@ def _can_be_near(shared: Column, sizes: Column, least: float) -> Column:
 
 
 def _middle(apart: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of the member of a large bucket with the smallest share of its own, and each other one not in its component."""
-    m = apart.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "c").join(crowd, "rep")
+    """Pairs (a, b) of the member of a split bucket with the smallest share of its own (the head aside), and each other one not in its component."""
+    m = apart.filter("rep <> head").select("band", "key", "rep", "c").join(crowd, "rep")
     middle = m.groupBy("band", "key").agg(F.min(F.struct(1 - F.col("shared") / F.col("size"), "rep", "c", "size", "shared")).alias("a"))
     near = _can_be_near(F.least("shared", "a.shared"), F.col("size") + F.col("a.size"), least)
     return m.join(middle, ["band", "key"]).filter(F.col("c") != F.col("a.c")).filter(near).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")).distinct()
@@ -272,14 +271,10 @@ def _middle(apart: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
 
 def _apart(m: DataFrame, crowd: DataFrame, stand: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of one bucket that aren't in one component and of which neither is the bucket's smallest (those were checked)."""
-    m = m.filter("rep <> head")
-    unbound = F.lit(None).cast("long")
-    small = m.filter(F.col("n") <= SMALL_BUCKET).select("band", "key", "rep", "bits", "c", unbound.alias("size"), unbound.alias("shared"))
-    large = m.filter(F.col("n") > SMALL_BUCKET).join(crowd, "rep")
-    most = large.groupBy("band", "key").agg(F.min("size").alias("smallest"), F.max(F.col("shared") * (1 + least) - F.col("size") * least).alias("spare"))
+    m = m.filter("rep <> head").select("band", "key", "rep", "bits", "c").join(crowd, "rep")
+    most = m.groupBy("band", "key").agg(F.min("size").alias("smallest"), F.max(F.col("shared") * (1 + least) - F.col("size") * least).alias("spare"))
     partner = F.greatest(F.col("smallest").cast("double"), F.col("size") * least)  # the smallest that a partner in the bucket can be
-    large = large.join(most, ["band", "key"]).filter(_can_be_near(F.col("shared"), F.col("size") + partner, least)).filter(F.col("spare") >= F.col("size") * least - 1e-6)
-    both = small.unionByName(large.select(*small.columns))
+    both = m.join(most, ["band", "key"]).filter(_can_be_near(F.col("shared"), F.col("size") + partner, least)).filter(F.col("spare") >= F.col("size") * least - 1e-6).drop("smallest", "spare")
     on = ["band", "key"]
     mixed = both.groupBy(*on).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select(*on)
     both = durable(both.join(mixed, on).join(stand.select("rep", "bands"), "rep"), "near-both")
@@ -287,7 +282,7 @@ def _apart(m: DataFrame, crowd: DataFrame, stand: DataFrame, least: float) -> Da
     bits = BANDS * ROWS
     differ = (1 - least) / 2
     unlike = sum(F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(bits // 64))
-    near = F.col("size_a").isNull() | F.col("size_b").isNull() | _can_be_near(F.least("shared_a", "shared_b"), F.col("size_a") + F.col("size_b"), least)
+    near = _can_be_near(F.least("shared_a", "shared_b"), F.col("size_a") + F.col("size_b"), least)
     # who is gone from the first band that a pair shares was checked there or can't be near, so no other band need make the pair
     sooner = reduce(Column.__or__, [(F.col("band") > k) & (F.col("bands_a")[k] == F.col("bands_b")[k]) for k in range(BANDS - 1)])
     like = unlike <= bits * differ + UNLIKE_DEVIATIONS * (bits * differ * (1 - differ)) ** 0.5

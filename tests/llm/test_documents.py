@@ -57,9 +57,7 @@ def brute(rows):
     return sorted(tuple([sorted([x for x in g if x is not None]), sum(x is None for x in g)]) for g in groups.values())
 
 
-@pytest.mark.parametrize("small", [64, 4])
-def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", small)
+def test_near_duplicates_equal_all_pairs(spark):
     rows = corpus()
     out = near_duplicates.near_duplicate_classes(docs(spark, rows)).collect()
     groups = {}
@@ -94,14 +92,39 @@ def one_shared_band():
             return [" ".join(t) for t in (*others[:4], inner[0], x, near[k])]
 
 
-def test_a_pair_of_one_shared_band_is_found(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "SMALL_BUCKET", 4)
+def test_a_pair_of_one_shared_band_is_found(spark):
     rows = list(enumerate(one_shared_band()))
     out = near_duplicates.near_duplicate_classes(docs(spark, rows)).collect()
     assert brute(rows) == sorted([([k], 0) for k in range(5)] + [([5, 6], 0)])
     assert {r["doc_id"]: r["class_id"] for r in out} == {**{k: k for k in range(6)}, 6: 5}
 
 
+def test_recall_on_a_whole_table(spark):
+    """Links of the 1000-document table by brute force over an inverted index of its shingles: the share that ends in one class."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    bags = {d: near_duplicates.bag(t) for d, t in rows}
+    index = {}
+    for d, (h, _) in bags.items():
+        for x in h.tolist():
+            index.setdefault(x, []).append(d)
+    pairs = {(a, b) for ds in index.values() if len(ds) < 400 for a in ds for b in ds if a < b}
+    assert all(len(ds) < 400 for ds in index.values())
+    links = [(a, b) for a, b in pairs if near_duplicates.overlap(bags[a], bags[b]) >= 0.8]
+    classes = {r["doc_id"]: r["class_id"] for r in near_duplicates.op2_near_duplicates(spark, SF).collect()}
+    assert len(links) > 50 and np.mean([classes[a] == classes[b] for a, b in links]) >= 0.99
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    together = [(a, b) for a in classes for b in [classes[a]] if a != b]
+    assert all(find(a) == find(b) or bags[a][0].size == bags[b][0].size == 0 for a, b in together)
+
+
 def wide(spark, rows):
     return spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
 
