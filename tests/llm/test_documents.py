@@ -233,17 +233,35 @@ def test_top_k_cases(spark):
     assert vector_topk.top_k(df.limit(0), df).count() == 0
 
 
-def test_approximation_file_is_exact():
+def by_hand(queries, vectors, k=5):
+    out = []
+    for i, (qid, q) in enumerate(queries):
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(q, v, strict=True)))), vid) for j, (vid, v) in enumerate(vectors) if j != i and len(v) == len(q))
+        out += [(qid, r + 1, vid, -x) for r, (x, vid) in enumerate(s[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [40, 300, 10**7, 2**61])
+def test_top_k_equals_a_loop(spark, monkeypatch, scale):
+    monkeypatch.setattr(vector_topk, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(vector_topk, "QUERY_ROWS", 11)
+    monkeypatch.setattr(vector_topk, "FIRST_READ", 1)
     rng = np.random.default_rng(1)
-    x = rng.integers(-300, 300, (700, 16))
-    x[100:300] = x[100]
-    f = vector_topk.ApproximationFile(np.arange(700), x, 3)
-    q = x[:40]
-    got = f.search(np.arange(40), q, 5)
-    for i in range(40):
-        s = x @ q[i]
-        want = sorted((k for k in range(700) if k != i), key=lambda k: (-s[k], k))[:5]
-        assert [(a, b, c) for a, b, c in got if a == i] == [(i, k, s[k]) for k in want]
+    rows = [(k // 2 * 2 if k < 40 else k, rng.integers(-scale, scale, 16 if k % 5 else 3).tolist()) for k in range(400)]
+    rows[50:120] = [(k, rows[50][1]) for k in range(50, 120)]  # many ties
+    df = spark.createDataFrame([(k, i, v) for k, (i, v) in enumerate(rows)], "row long, vec_id long, v array<long>")
+    got = vector_topk.top_k(df.filter("row < 60"), df).collect()
+    assert sorted(tuple(r) for r in got) == by_hand(rows[:60], rows)
+
+
+def test_top_k_takes_large_values_and_no_components(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [3e38, 1.0]), (50, [-3e38, 1.0]), (1, [3e38, 0.0]), (2, [1.0, 1.0]), (100, []), (3, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", vector_topk.whole_numbers(F.col("embedding")).alias("v"))
+    got = sorted(tuple(r) for r in vector_topk.top_k(df.filter("vec_id % 50 = 0"), df).collect())
+    big = 2**63 - 1
+    assert [r for r in got if r[0] == 0][0] == (0, 1, 1, big) and (0, 3, 50, -(2**63)) in got and (100, 1, 3, 0) in got
 
 
 def test_fixity_finds_what_was_changed(spark, tmp_path):
