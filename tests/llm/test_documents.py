@@ -266,7 +266,7 @@ def test_top_k_takes_large_values_and_no_components(spark):
 
 def test_fixity_finds_what_was_changed(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "page " * (k % 50)) for k in range(2500)] + [(7, "http://x/7", "again"), (None, None, None)], "page_id long, url string, html string")
-    assert {(r["status"], r["level"]) for r in warc_fixity.audit(pages, pages).collect()} == {("same", 3)}
+    assert {(r["status"], r["level"]) for r in warc_fixity.audit(pages, pages).collect()} == {("same", warc_fixity.TOP)}
     from pyspark.sql import functions as F
 
     bad = pages.filter("page_id IS NULL OR page_id <> 1234").withColumn("html", F.when(F.col("page_id") == 99, "!").otherwise(F.col("html"))).unionByName(spark.createDataFrame([(9001, "u", "h")], pages.schema))
@@ -279,6 +279,40 @@ def test_fixity_finds_what_was_changed(spark, tmp_path):
     assert len(back) == 40 and back["<urn:page:49>" if "<urn:page:49>" in back else "<urn:page:39>"] == "page " * 39
 
 
+def test_fixity_of_any_ids_and_texts(spark):
+    rows = [(-1, "a", "x"), (None, "a", "x"), (-(2**63), "b", None), (2**63 - 1, None, "y" * 300_000), (5, "c", "")]
+    schema = "page_id long, url string, html string, hash int, archive int"
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], schema)
+    for k in range(len(rows)):
+        bad = spark.createDataFrame([(*(r[:2], r[:1] + ("changed",))[j == k], (r[2] or "") + "!" * (j == k), 1, 2) for j, r in enumerate(rows)], schema)
+        out = warc_fixity.audit(pages, bad).collect()
+        assert sorted(r["level"] for r in out) == list(range(warc_fixity.TOP + 1)) and {r["status"] for r in out} == {"differs"}
+    leaf = warc_fixity.leaves(pages).collect()
+    assert len({(r["archive"], r["slot"]) for r in leaf}) == len(rows)
+    assert {r["status"] for r in warc_fixity.audit(pages, pages.limit(0)).collect()} == {"missing"}
+
+
+def test_reading_warc_files(spark, tmp_path):
+    import gzip
+
+    head = b"WARC/1.0\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n"
+    parts = [head % (1, b"3", b"abc"), head % (2, b"many", b"no length"), head % (3, b"-4", b"x"), head % (4, b"5", b"\r\n\r\n!"), head % (5, b"999", b"cut")]
+    (tmp_path / "a.warc").write_bytes(b"noise" + b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)) + gzip.compress(parts[0])[:-9])
+    (tmp_path / "c.warc").write_bytes(b"")
+    out = warc_fixity.read_warc(spark, str(tmp_path)).collect()
+    plain = {r["record_id"]: bytes(r["body"]) for r in out if r["file"].endswith("a.warc")}
+    assert plain == {"<urn:page:1>": b"abc", "<urn:page:2>": b"no length\r\n\r\n", "<urn:page:3>": b"x\r\n\r\n", "<urn:page:4>": b"\r\n\r\n!", "<urn:page:5>": b"cut\r\n\r\n"}
+    packed = [(r["offset"], r["record_id"], bytes(r["body"])) for r in out if r["file"].endswith(".gz")]
+    at = [0, *np.cumsum([len(gzip.compress(p)) for p in parts]).tolist()]
+    assert sorted(packed)[:5] == [(a, f"<urn:page:{k + 1}>", plain[f"<urn:page:{k + 1}>"]) for k, a in enumerate(at[:5])]
+    pages = spark.createDataFrame([(k, f"u{k}", f"page {k}") for k in range(60)], "page_id long, url string, html string")
+    warc_fixity.write_warc(pages, str(tmp_path / "one"))
+    warc_fixity.write_warc(pages.filter("page_id <> 33"), str(tmp_path / "two"))
+    found = warc_fixity.audit_files(spark, str(tmp_path / "one"), str(tmp_path / "two")).filter("level = 0").collect()
+    assert [(r["archive"], r["node"], r["status"]) for r in found] == [(0, 33, "missing")]
+
+
 def test_license_cases(spark):
     t = license_scan.standard_templates(spark)
     rows = [(1, None), (2, ""), (3, "ALL rights\n\nreserved"), (4, "x " * 3000 + "released under the MIT license " + "y " * 3000), (4, "nothing"), (5, "released under the license"), (None, "Licensed under CC BY-NC 4.0")]
