@@ -215,14 +215,15 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float) -> tuple[D
 
     first = verified(members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "near-links")
     joined = components(first, "near-first")
-    apart = _several(members, joined)
+    apart = _several(members.filter("n > 2"), joined)  # of two, the head was checked against the other
     crowd = durable(_crowd(apart, stand, texts), "near-crowd")
-    middle = verified(_middle(apart, crowd, least), "near-middle")
+    apart = durable(apart.filter("rep <> head").join(crowd, "rep"), "near-crowded")
+    middle = verified(_middle(apart, least), "near-middle")
     if middle.take(1):
         first = first.unionByName(middle)
         joined = components(first, "near-joined")
-        apart = _several(members, joined)
-    second = verified(_apart(apart, crowd, stand, least), "near-more")
+        apart = _several(apart, joined)
+    second = verified(_apart(apart, stand, least), "near-more")
     final = components(first.unionByName(second), "near-final") if second.take(1) else joined
     linked = durable(stand.select("rep", "first").join(final, F.col("rep") == F.col("node")).select("rep", "component", "first"), "near-linked")
     least_of = linked.groupBy("component").agg(F.min("first").alias("keep"))
@@ -232,8 +233,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, least: float) -> tuple[D
 
 
 def _several(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """The members of buckets of more than two that have several components, each with its component c (of two, the head was checked against the other)."""
-    m = members.filter("n > 2").join(joined, F.col("rep") == F.col("node"), "left").select("band", "key", "head", "n", "rep", "bits", F.coalesce("component", "rep").alias("c"))
+    """The members of buckets that have several components, each with its component c."""
+    m = members.drop("c").join(joined, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
     split = m.groupBy("band", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("band", "key")
     return durable(m.join(split, ["band", "key"]), "near-apart")
 
@@ -261,17 +262,16 @@ def _can_be_near(shared: Column, sizes: Column, least: float) -> Column:
     return shared * (1 + least) >= sizes * least - 1e-6
 
 
-def _middle(apart: DataFrame, crowd: DataFrame, least: float) -> DataFrame:
+def _middle(m: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of the member of a split bucket with the smallest share of its own (the head aside), and each other one not in its component."""
-    m = apart.filter("rep <> head").select("band", "key", "rep", "c").join(crowd, "rep")
     middle = m.groupBy("band", "key").agg(F.min(F.struct(1 - F.col("shared") / F.col("size"), "rep", "c", "size", "shared")).alias("a"))
     near = _can_be_near(F.least("shared", "a.shared"), F.col("size") + F.col("a.size"), least)
     return m.join(middle, ["band", "key"]).filter(F.col("c") != F.col("a.c")).filter(near).select(F.col("a.rep").alias("a"), F.col("rep").alias("b")).distinct()
 
 
-def _apart(m: DataFrame, crowd: DataFrame, stand: DataFrame, least: float) -> DataFrame:
+def _apart(m: DataFrame, stand: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of one bucket that aren't in one component and of which neither is the bucket's smallest (those were checked)."""
-    m = m.filter("rep <> head").select("band", "key", "rep", "bits", "c").join(crowd, "rep")
+    m = m.select("band", "key", "rep", "bits", "c", "size", "shared")
     most = m.groupBy("band", "key").agg(F.min("size").alias("smallest"), F.max(F.col("shared") * (1 + least) - F.col("size") * least).alias("spare"))
     partner = F.greatest(F.col("smallest").cast("double"), F.col("size") * least)  # the smallest that a partner in the bucket can be
     both = m.join(most, ["band", "key"]).filter(_can_be_near(F.col("shared"), F.col("size") + partner, least)).filter(F.col("spare") >= F.col("size") * least - 1e-6).drop("smallest", "spare")
