@@ -34,8 +34,9 @@ SWITCH_PENALTY = 12.0
 FLOOR = -6.0
 #: A script's share of a language's letters that makes the language a candidate for it.
 SCRIPT_SHARE = 0.001
-CACHE_WORDS = 300_000
-HELD_BYTES = 4 << 20
+#: Words remembered in a worker, about, and words scored together.
+CACHE_WORDS, WORDS_AT_ONCE = 200_000, 8192
+HELD_BYTES = 1 << 20
 UNKNOWN = "und"
 
 #: Scripts by code point ranges (Unicode blocks), others are "other".
@@ -137,12 +138,13 @@ class Labeller:
             self.table = np.vstack([self.table, np.zeros((more, self.table.shape[1]), "float32")])
             self.seen = np.vstack([self.seen, np.zeros((more, self.table.shape[1]), "float32")])
             self.letters = np.append(self.letters, np.zeros(more, "int64"))
-        start = len(self.index)
         new = list(words)
-        if new:
-            self.table[start:need], self.seen[start:need] = self.model.words(new)
-            self.letters[start:need] = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]
-            self.index.update(zip(new, range(start, need), strict=True))
+        for k in range(0, len(new), WORDS_AT_ONCE):
+            part, start = new[k : k + WORDS_AT_ONCE], len(self.index)
+            end = start + len(part)
+            self.table[start:end], self.seen[start:end] = self.model.words(part)
+            self.letters[start:end] = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in part]
+            self.index.update(zip(part, range(start, end), strict=True))
 
     def label(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each list of words: the label of each word, its letters, and the share of its trigrams that the label's language has."""
@@ -227,7 +229,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes([whole], 1, HELD_BYTES)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w, n in Counter(_WORD.findall(text.lower())).items():
                     c = seen[lang]
