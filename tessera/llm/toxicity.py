@@ -38,7 +38,8 @@ MIN_SUPPORT, MIN_ODDS = 5, 2.0
 #: What a stem must explain: clauses of toxic texts times log odds.
 MIN_GAIN = 40.0
 STEM_MIN, STEM_MAX = 4, 14
-HELD_BYTES = 4 << 20
+#: Bytes of texts held at once, and of clauses whose stems are counted together.
+HELD_BYTES, COUNTED_BYTES = 2 << 20, 1 << 19
 
 # The grammar's own words (English, German, French, Spanish).
 INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb fool bastard idiota imbécile dummkopf estúpid abschaum".split()
@@ -284,15 +285,14 @@ def fit(rows: DataFrame) -> Model:
         return prior_model()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for b in batches:
-            for clause, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[toxic].update(stems_of(clause))
-        for toxic, c in enumerate(seen):
-            keys = list(c)
-            for k in range(0, len(keys), 50_000):
-                part = keys[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([c[x] * toxic for x in part], pa.int64()), pa.array([c[x] * (1 - toxic) for x in part], pa.int64())], names=["stem", "tox", "clean"])
+        for whole in batches:
+            for b in by_bytes([whole], 0, COUNTED_BYTES):  # what a part holds is summed with the others' in the shuffle
+                seen = (Counter(), Counter())
+                for clause, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    seen[toxic].update(stems_of(clause))
+                stems = list(seen[0].keys() | seen[1].keys())
+                counts = [pa.array([c[x] for x in stems], pa.int64()) for c in (seen[1], seen[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *counts], names=["stem", "tox", "clean"])
 
     odds = F.log((F.col("tox") + 0.5) / (n_tox + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     marks_toxic = (F.col("tox") >= MIN_SUPPORT) & (F.col("odds") >= MIN_ODDS) & (F.col("tox") * F.col("odds") >= MIN_GAIN)
@@ -324,7 +324,7 @@ def stem_hits(col: Column, stems: list[str]) -> Column:
     @F.arrow_udf("array<int>")
     def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
-            yield pa.array([[at[s] for s in stems_of(t or "") & at.keys()] for t in a.to_pylist()], pa.list_(pa.int32()))
+            yield pa.array([sorted(at[s] for s in stems_of(t.as_py() or "") & at.keys()) for t in a], pa.list_(pa.int32()))
 
     return hit(col)
 
@@ -380,7 +380,7 @@ def clause_vectors(col: Column, model: Model) -> Column:
         g = grammar(model)
         kind = pa.list_(pa.struct([("vector", pa.list_(pa.float64())), ("n", pa.int32())]))
         for a in batches:
-            yield pa.array([[{"vector": list(v), "n": n} for v, n in g.clauses(t)] for t in a.to_pylist()], kind)
+            yield pa.array([[{"vector": list(v), "n": n} for v, n in g.clauses(t.as_py())] for t in a], kind)
 
     return found(col)
 
