@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +60,17 @@ def with_fields(df: DataFrame, value: Column, names: dict[str, str]) -> DataFram
     return df.withColumn(held, value).withColumns({name: F.col(held)[field] for name, field in names.items()}).drop(held)
 
 
+_TABLES: dict = {}
+
+
+def worker_tables(key: str, make: Callable):
+    """What a Python worker keeps between batches and tasks under ``key``: one thing at a time, so a worker that serves several operators in turn holds the tables of one."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
 def text_of(col: str = "text") -> Column:
     """The text, a null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
@@ -82,3 +93,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 2
             end = max(start + 1, int(np.searchsorted(at, base + limit, "right")))
             yield b.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()

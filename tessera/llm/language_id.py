@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, table, with_fields
+from tessera.llm.common import by_bytes, table, with_fields, worker_tables
 
 #: Labelled texts of each language in the fit, at most.
 PER_LANGUAGE = 1500
@@ -250,15 +250,9 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(counts, scripts, docs)
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def labeller(key: str, model: Model, penalty: float) -> Labeller:
     """The worker's labeller of a model: one is kept, with the words it has met."""
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(model, penalty)
-    return _LABELLERS[key]
+    return worker_tables(f"labeller {key}", lambda: Labeller(model, penalty))
 
 
 def identify(col: Column | str, model: Model, penalty: float = SWITCH_PENALTY, spans: bool = False) -> Column:

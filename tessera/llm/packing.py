@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, table, text_of
+from tessera.llm.common import by_bytes, table, text_of, worker_tables
 from tessera.llm.safe_chunks import WITH_SPACE, PieceCache, cutter
 from tessera.llm.token_counts import library, tokenizer_path
 
@@ -154,9 +154,6 @@ class Packer:
         self.next_id += 1
 
 
-_ENCODERS: dict[str, Callable[[list[str]], list[bytes]]] = {}
-
-
 def byte_letters() -> dict[str, int]:
     """The byte for which each letter of a byte-level vocabulary stands: itself if it prints in Latin-1, else the next one from 256 on."""
     shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
@@ -204,10 +201,8 @@ def _cached(path: str) -> Callable[[list[str]], list[bytes]]:
 
 def encode_batch(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     """The ids of each text by a tokenizers file as little-endian unsigned 32-bit bytes, without an end id. A worker loads a file once."""
-    if name not in _ENCODERS:
-        path = tokenizer_path(name)
-        _ENCODERS[name] = _ranked(path) or _cached(path)
-    return _ENCODERS[name](texts)
+    path = tokenizer_path(name)
+    return worker_tables(f"encoder {path}", lambda: _ranked(path) or _cached(path))(texts)
 
 
 def pack_documents(

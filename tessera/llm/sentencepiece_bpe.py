@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, table, text_of, with_fields
+from tessera.llm.common import by_bytes, table, text_of, with_fields, worker_tables
 from tessera.llm.safe_chunks import _PLAIN, CACHE_PIECES
 
 MODEL = "piece_bpe_32k.model"
@@ -261,16 +261,11 @@ class Vocabulary:
                 yield self.raw[i].decode()
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def vocabulary(name: str = MODEL) -> Vocabulary:
     """The worker's tables for a public model's name, or a path that every executor has."""
-    if name not in _LOADED:
-        import public_tokenizers
+    from tessera.llm.token_counts import tokenizer_path
 
-        _LOADED[name] = Vocabulary(name if "/" in name else public_tokenizers.path(name))
-    return _LOADED[name]
+    return worker_tables(f"pieces {name}", lambda: Vocabulary(tokenizer_path(name)))
 
 
 def encode_decode(col: Column | str, model: str = MODEL, end: bool = True) -> Column:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 
+from tessera.llm.common import worker_tables
+
 #: Words in a shingle.
 WIDTH = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_state: dict = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,6 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which code points make words, their values, and powers of the base up to ``n`` (each worker builds them once)."""
+    _state = worker_tables("shingles", dict)
     if "word" not in _state:
         _state["word"] = np.fromiter((chr(i).isalnum() for i in range(0x110000)), "int8", 0x110000)
         _state["value"] = mix(np.arange(0x110000, dtype="uint64"))

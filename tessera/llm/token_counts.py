@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, table, text_of
+from tessera.llm.common import by_bytes, table, text_of, worker_tables
 from tessera.llm.safe_chunks import PieceCache, cutter
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,8 +23,6 @@ LIMIT = 2048
 #: Bytes of text whose pieces are held at once in a worker.
 HELD_BYTES = 4 << 20
 
-_COUNTERS: dict[str, PieceCache] = {}
-
 
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies on this machine (each executor asks for itself)."""
@@ -48,20 +46,21 @@ def library(name: str):
     return t
 
 
+def _made(name: str) -> PieceCache:
+    path = tokenizer_path(name)
+    if path.endswith(".model"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        # a sentencepiece model adds a prefix to each text, so these texts are encoded whole
+        return PieceCache(lambda xs: [len(i) for i in sp.encode(xs, num_threads=1)], None)
+    t = library(name)
+    return PieceCache(lambda xs: [len(e.ids) for e in t.encode_batch_fast(xs, add_special_tokens=False)], cutter(path))
+
+
 def _counter(name: str) -> PieceCache:
     """The worker's counter, loaded once and reused across tasks."""
-    if name not in _COUNTERS:
-        path = tokenizer_path(name)
-        if path.endswith(".model"):
-            import sentencepiece
-
-            sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            # a sentencepiece model adds a prefix to each text, so these texts are encoded whole
-            _COUNTERS[name] = PieceCache(lambda xs: [len(i) for i in sp.encode(xs, num_threads=1)], None)
-        else:
-            t = library(name)
-            _COUNTERS[name] = PieceCache(lambda xs: [len(e.ids) for e in t.encode_batch_fast(xs, add_special_tokens=False)], cutter(path))
-    return _COUNTERS[name]
+    return worker_tables(f"counter {name}", lambda: _made(name))
 
 
 def count_batch(texts: list[str | None], name: str) -> list[int]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_bytes, durable, table
+from tessera.llm.common import by_bytes, durable, table, worker_tables
 
 #: Labelled texts of each label in the fit, at most.
 PER_CLASS = 4000
@@ -240,14 +240,9 @@ def text_features(clauses: list[tuple[tuple[float, ...], int]], w: np.ndarray) -
     return f
 
 
-_GRAMMARS: dict[str, Grammar] = {}
-
-
 def grammar(model: Model) -> Grammar:
-    if model.key not in _GRAMMARS:
-        _GRAMMARS.clear()
-        _GRAMMARS[model.key] = Grammar(model)
-    return _GRAMMARS[model.key]
+    """The worker's grammar of a model."""
+    return worker_tables(f"grammar {model.key}", lambda: Grammar(model))
 
 
 def prior_model() -> Model:
