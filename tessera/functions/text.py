@@ -31,9 +31,11 @@ def display_difference(a: Column, b: Column) -> Column:
 
 
 def ndc_code11(code: Column) -> Column:
-    """A dashed drug code padded to 5-4-2 digits; null if it hasn't three parts."""
+    """A dashed drug code of three parts padded to 5-4-2 digits, any other without its dashes padded to 11; longer parts stay, null and empty give an empty text."""
+    padded = lambda x, n: F.when(F.length(x) >= n, x).otherwise(F.lpad(x, n, "0"))
     p = F.split(code, "-")
-    return F.when(F.size(p) == 3, F.concat(F.lpad(p[0], 5, "0"), F.lpad(p[1], 4, "0"), F.lpad(p[2], 2, "0")))
+    three = F.concat(*[padded(F.get(p, k), n) for k, n in enumerate((5, 4, 2))])
+    return F.when(F.coalesce(code, F.lit("")) == "", "").when(F.size(p) == 3, three).otherwise(padded(F.replace(code, F.lit("-"), F.lit("")), 11))
 
 
 def repaired_date(value: Column) -> Column:

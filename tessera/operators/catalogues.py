@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, versions
+from tessera.session import settled
 
 
 def facets(rows: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
@@ -47,6 +48,15 @@ def first_by(rows: DataFrame, keys: list[str], order: list[Column], out: str = "
     return rows.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= most)
 
 
+def numbered(rows: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
+    """Rows numbered from 1 in a total order: dealt by ranges, numbered within each, plus the rows of the ranges before. Only the ranges' sizes meet in one task."""
+    dealt = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = (F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")).cast("int")
+    return dealt.join(before, "_range").withColumn(out, place).drop("_range", "_before")
+
+
 def ranked_servers(servers: DataFrame, most: int) -> DataFrame:
     """By region: authoritative first, without error, recently seen (never last), more resources, newer version, then name."""
     order = [F.desc("authoritative"), F.asc("has_error"), F.col("last_success").desc_nulls_last(), F.desc("n_resources"), F.desc("version"), F.asc("name")]

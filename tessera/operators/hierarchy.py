@@ -29,6 +29,35 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def walk(edges: DataFrame, of: str | list[str], up: bool = False) -> DataFrame:
+    """Codes strictly below (or above) any of the given ones, level by level from these: the work is in proportion to what is found, not to the hierarchy.
+
+    A code on a cycle is below itself. Each round's new codes are written to the shared checkpoint folder.
+    """
+    a, b = ("child", "parent") if up else ("parent", "child")
+    steps = edges.select(F.col(a).alias("start"), F.col(b).alias("code")).filter("start IS NOT NULL AND code IS NOT NULL")
+    front = settled(steps.filter(F.col("start").isin([of] if isinstance(of, str) else of)).select("code").distinct())
+    known = front
+    while front.take(1):
+        step = front.withColumnRenamed("code", "start").join(steps, "start").select("code").distinct()
+        front = settled(step.join(known, "code", "left_anti"))
+        known = known.unionByName(front)
+    return known
+
+
+def below(edges: DataFrame, of: str | list[str], or_self: bool = False, codes: DataFrame | None = None) -> DataFrame:
+    """``descendants`` without a closure, by a walk down from the given codes."""
+    found = walk(edges, of)
+    if or_self:
+        found = found.unionByName(codes.filter(F.col("code").isin([of] if isinstance(of, str) else of)).select("code")).distinct()
+    return found
+
+
+def outside(edges: DataFrame, codes: DataFrame, of: str) -> DataFrame:
+    """``not_below`` without a closure."""
+    return codes.select("code").filter(F.col("code") != of).join(walk(edges, of), "code", "left_anti")
+
+
 def with_self(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """The closure with each code as its own ancestor at depth 0."""
     own = codes.select(F.col("code").alias("ancestor"), F.col("code").alias("descendant"), F.lit(0).alias("depth"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 # Map types and equivalences, and the relationship each stands for.
 RELATIONSHIPS = {
     "equal": "equivalent", "equivalent": "equivalent", "same-as": "equivalent", "relatedto": "related-to", "related-to": "related-to",
-    "wider": "source-is-narrower-than-target", "subsumes": "source-is-broader-than-target", "specializes": "source-is-broader-than-target",
-    "narrower": "source-is-broader-than-target", "narrower-than": "source-is-narrower-than-target", "broader-than": "source-is-broader-than-target",
-    "inexact": "related-to", "unmatched": "not-related-to", "disjoint": "not-related-to",
+    "wider": "source-is-broader-than-target", "subsumes": "source-is-broader-than-target", "broader-than": "source-is-broader-than-target",
+    "narrower": "source-is-narrower-than-target", "specializes": "source-is-narrower-than-target", "narrower-than": "source-is-narrower-than-target",
+    "inexact": "not-related-to", "unmatched": "not-related-to", "disjoint": "not-related-to",
 }
 
 

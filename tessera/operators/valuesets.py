@@ -56,12 +56,16 @@ def with_properties(expansion: DataFrame, props: DataFrame, names: list[str]) ->
 
 
 def validate(requests: DataFrame, expansion: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(req_id, code, display) against a set: result true or false, or null where the code is unknown, the cause, and whether the display agrees."""
-    known = concepts.select("code", F.col("display").alias("own")).dropDuplicates(["code"])
+    """(req_id, code, display) against a set: result true or false, or null where the code is unknown, the cause, and whether the display agrees.
+
+    Of a code that occurs more than once the last row's display counts, by ``ord`` where the concepts have it, else the greatest display.
+    """
+    last = F.max_by("display", "ord") if "ord" in concepts.columns else F.max("display")
+    known = concepts.groupBy("code").agg(last.alias("own"), F.lit(True).alias("known"))
     inside = expansion.select("code").distinct().withColumn("member", F.lit(True))
     out = requests.join(known, "code", "left").join(inside, "code", "left")
-    result = F.when(F.col("own").isNull(), F.lit(None).cast("boolean")).when(F.col("member"), True).otherwise(False)
-    cause = F.when(F.col("own").isNull(), "unknown-code").when(F.col("member"), "ok").otherwise("not-in-value-set")
+    result = F.when(F.col("known").isNull(), F.lit(None).cast("boolean")).when(F.col("member"), True).otherwise(False)
+    cause = F.when(F.col("known").isNull(), "unknown-code").when(F.col("member"), "ok").otherwise("not-in-value-set")
     same = lambda a, b: F.lower(F.trim(F.regexp_replace(a, r"\s+", " "))) == F.lower(F.trim(F.regexp_replace(b, r"\s+", " ")))
     return out.select("req_id", "code", result.alias("result"), cause.alias("cause"), F.when(F.col("own").isNotNull() & F.col("display").isNotNull(), same(F.col("display"), F.col("own"))).alias("display_ok"))
 

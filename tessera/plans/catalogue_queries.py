@@ -14,6 +14,11 @@ from tessera.streaming import sync
 Q, SQL = {}, {}
 
 
+def _s(c):
+    return c.cast("string")
+
+
+
 def query(sql: str):
     def put(f):
         Q[f.__name__] = f
@@ -79,10 +84,8 @@ def _versions(spark, d):
 
 @query(f"WITH v AS (SELECT DISTINCT version FROM ({_VER})) SELECT version, row_number() OVER (ORDER BY split_part(version, '.', 1)::INT, split_part(version, '.', 2)::INT, split_part(split_part(version, '.', 3), '-', 1)::INT, NOT contains(version, '-'))::INTEGER AS place FROM v")
 def version_sort(spark, d):
-    from pyspark.sql import Window
-
-    v = _versions(spark, d).select("version").distinct()  # the distinct versions are few, so one task can number them
-    return v.withColumn("place", F.row_number().over(Window.orderBy(versions.semver_key(F.col("version")))))
+    v = _versions(spark, d).select("version").distinct()
+    return cat.numbered(v, [versions.semver_key(F.col("version"))], "place")
 
 
 @query(f"SELECT version, count(*) AS n FROM ({_VER}) WHERE regexp_full_match(version, '1\\.[0-9]+\\.[0-9]+') GROUP BY version")
@@ -214,10 +217,14 @@ def events_tumbling(spark, d):
     return sync.tumbling(table(spark, d, "events"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, lpad((l_partkey % 9999)::VARCHAR, 5, '0') || lpad((l_suppkey % 999)::VARCHAR, 4, '0') || lpad(l_linenumber::VARCHAR, 2, '0') AS code11 FROM lineitem""")
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 99999 AS a, l_suppkey % 99999 AS b, CASE WHEN l_linenumber < 5 THEN l_linenumber ELSE l_linenumber * 111 END AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN lpad(a::VARCHAR || b, greatest(11, length(a::VARCHAR || b))::INTEGER, '0')
+  ELSE lpad(a::VARCHAR, 5, '0') || lpad(b::VARCHAR, greatest(4, length(b::VARCHAR))::INTEGER, '0') || lpad(c::VARCHAR, greatest(2, length(c::VARCHAR))::INTEGER, '0') END AS code11 FROM c""")
 def ndc_code11(spark, d):
+    """Codes of three parts, some longer than they are padded to, and of two."""
     li = table(spark, d, "lineitem")
-    code = F.concat_ws("-", (F.col("l_partkey") % 9999).cast("string"), (F.col("l_suppkey") % 999).cast("string"), F.col("l_linenumber").cast("string"))
+    parts = [_s(F.col("l_partkey") % 99999), _s(F.col("l_suppkey") % 99999), _s(F.when(F.col("l_linenumber") < 5, F.col("l_linenumber")).otherwise(F.col("l_linenumber") * 111))]
+    code = F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws("-", *parts[:2])).otherwise(F.concat_ws("-", *parts))
     return li.select("l_orderkey", "l_linenumber", text.ndc_code11(code).alias("code11"))
 
 

@@ -5,7 +5,7 @@ Definitions are small and read on the driver; codes never are. Filters of a clau
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -45,13 +45,6 @@ class CodeSystem:
     edges: DataFrame
     props: DataFrame
     inactive: DataFrame | None = None
-    _closure: DataFrame | None = field(default=None, repr=False)
-
-    @property
-    def closure(self) -> DataFrame:
-        if self._closure is None:
-            self._closure = h.closure(self.edges)
-        return self._closure
 
     def filtered(self, f: Filter) -> DataFrame:
         """The codes that one filter keeps; an operator that isn't known is an error."""
@@ -59,17 +52,17 @@ class CodeSystem:
         if f.prop in ("concept", "code"):
             match f.op:
                 case "is-a":
-                    return h.descendants(self.closure, f.value, True, self.concepts)
+                    return h.below(self.edges, f.value, True, self.concepts)
                 case "descendent-of":
-                    return h.descendants(self.closure, f.value)
+                    return h.below(self.edges, f.value)
                 case "is-not-a":
-                    return h.not_below(self.closure, self.concepts, f.value)
+                    return h.outside(self.edges, self.concepts, f.value)
                 case "child-of":
                     return h.children(self.edges, f.value)
                 case "generalizes":
-                    return h.ancestors(self.closure, f.value)
+                    return h.walk(self.edges, f.value, up=True)
                 case "descendent-leaf":
-                    return h.descendants(self.closure, f.value).join(h.leaves(self.edges, self.concepts), "code", "left_semi")
+                    return h.below(self.edges, f.value).join(h.leaves(self.edges, self.concepts), "code", "left_semi")
                 case "in" | "=":
                     return self.concepts.select("code").filter(F.col("code").isin(words if f.op == "in" else [f.value]))
                 case "regex":
@@ -117,9 +110,15 @@ def expand(name: str, sets: dict[str, ValueSet], system: CodeSystem, _open: tupl
     return vs.expand([clause(c) for c in vset.includes], [clause(c) for c in vset.excludes], inactive=gone)
 
 
+def fits(version: str, wanted: str) -> bool:
+    """Whether a version has the wanted one's parts; a part x or * is any, and parts that aren't wanted may be anything."""
+    have, want = version.split("."), wanted.split(".")
+    return len(have) >= len(want) and all(w in ("x", "X", "*") or w == v for w, v in zip(want, have, strict=False))
+
+
 def resolved_version(stated: str | None, override: str | None = None, default: str | None = None, check: str | None = None) -> tuple[str | None, str | None]:
     """The version to use for a system, and a complaint or None: override before stated before default before check; a stated version that the check doesn't fit is complained about."""
     version = override or stated or default or check
-    if check and version and not version.startswith(check.rstrip("xX*")):
+    if check and version and not fits(version, check):
         return version, f"version {version} does not fit {check}"
     return version, None

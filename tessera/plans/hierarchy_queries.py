@@ -52,23 +52,23 @@ def closure_pairs(spark, d):
 SELECT code, min(o)::INTEGER AS clause_ord FROM inc WHERE code NOT IN (SELECT descendant FROM closure WHERE ancestor = 'N1') GROUP BY code""")
 def expand_hierarchy(spark, d):
     """Descendants or self of R1, then descendants of N3, without descendants of N1."""
-    c, codes = _closure(spark, d), t.concepts(spark, d)
-    return vs.expand([h.descendants(c, "R1", True, codes), h.descendants(c, "N3")], [h.descendants(c, "N1")])
+    c, codes = t.edges(spark, d), t.concepts(spark, d)
+    return vs.expand([h.below(c, "R1", True, codes), h.below(c, "N3")], [h.below(c, "N1")])
 
 
 @query(CLOSURE + " SELECT DISTINCT descendant AS code FROM closure WHERE ancestor = 'R2' UNION SELECT code FROM concept WHERE code = 'R2'")
 def filter_is_a(spark, d):
-    return h.descendants(_closure(spark, d), "R2", True, t.concepts(spark, d))
+    return h.below(t.edges(spark, d), "R2", True, t.concepts(spark, d))
 
 
 @query(CLOSURE + " SELECT DISTINCT descendant AS code FROM closure WHERE ancestor = 'R2'")
 def filter_descendent_of(spark, d):
-    return h.descendants(_closure(spark, d), "R2")
+    return h.below(t.edges(spark, d), "R2")
 
 
 @query(CLOSURE + " SELECT code FROM concept WHERE code <> 'R2' AND code NOT IN (SELECT descendant FROM closure WHERE ancestor = 'R2')")
 def filter_is_not_a(spark, d):
-    return h.not_below(_closure(spark, d), t.concepts(spark, d), "R2")
+    return h.outside(t.edges(spark, d), t.concepts(spark, d), "R2")
 
 
 @query(f"WITH {EDGE} SELECT DISTINCT child AS code FROM edge WHERE parent = 'N5'")
@@ -93,7 +93,7 @@ def filter_root(spark, d):
 
 @query(CLOSURE + " SELECT DISTINCT ancestor AS code FROM closure WHERE descendant = 'C3'")
 def filter_generalizes(spark, d):
-    return h.ancestors(_closure(spark, d), "C3")
+    return h.walk(t.edges(spark, d), "C3", up=True)
 
 
 @query(CLOSURE + """, root AS (SELECT code FROM concept WHERE code NOT IN (SELECT child FROM edge))
@@ -284,9 +284,9 @@ def fingerprint(spark, d):
 @query(CLOSURE + """ SELECT code FROM concept WHERE (code IN (SELECT descendant FROM closure WHERE ancestor = 'R1') AND balance > 0 OR code IN (SELECT descendant FROM closure WHERE ancestor = 'N2'))
 AND code NOT IN (SELECT code FROM concept WHERE segment = 'BUILDING')""")
 def ecl_and_or_minus(spark, d):
-    c, codes = _closure(spark, d), t.concepts(spark, d)
-    left = ex.both(h.descendants(c, "R1"), codes.filter("balance > 0"))
-    return ex.minus(ex.either(left, h.descendants(c, "N2")), codes.filter("segment = 'BUILDING'"))
+    c, codes = t.edges(spark, d), t.concepts(spark, d)
+    left = ex.both(h.below(c, "R1"), codes.filter("balance > 0"))
+    return ex.minus(ex.either(left, h.below(c, "N2")), codes.filter("segment = 'BUILDING'"))
 
 
 @query(f"WITH {REL} SELECT DISTINCT target AS code FROM rel WHERE rel = 'part-A' AND source IN (SELECT 'O' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -44,10 +44,14 @@ def map_statistics(spark, d):
     return maps.provides(t.map_rows(spark, d))
 
 
-@query("""SELECT CASE l_linenumber % 4 WHEN 0 THEN 'equivalent' WHEN 1 THEN 'source-is-narrower-than-target' WHEN 2 THEN 'not-related-to' ELSE 'related-to' END AS relationship, count(*) AS n FROM lineitem GROUP BY 1""")
+KINDS = "SAME_AS Equal equivalent relatedTo wider Subsumes narrower specializes inexact unmatched Disjoint something".split()
+
+
+@query("""WITH k(slot, relationship) AS (VALUES (0, 'equivalent'), (1, 'equivalent'), (2, 'equivalent'), (3, 'related-to'), (4, 'source-is-broader-than-target'), (5, 'source-is-broader-than-target'),
+  (6, 'source-is-narrower-than-target'), (7, 'source-is-narrower-than-target'), (8, 'not-related-to'), (9, 'not-related-to'), (10, 'not-related-to'), (11, 'related-to'), (12, NULL))
+SELECT relationship, count(*) AS n FROM lineitem JOIN k ON slot = l_orderkey % 13 GROUP BY relationship""")
 def map_relationship_vocabulary(spark, d):
-    k = F.col("l_linenumber") % 4
-    kind = F.when(k == 0, "SAME_AS").when(k == 1, "wider").when(k == 2, "Disjoint").otherwise("something")
+    kind = F.get(F.lit(KINDS), (F.col("l_orderkey") % 13).cast("int"))
     return table(spark, d, "lineitem").groupBy(maps.relationship(kind).alias("relationship")).agg(F.count("*").alias("n"))
 
 
@@ -74,10 +78,13 @@ def subset_neighbourhood(spark, d):
     return h.neighbourhood(t.edges(spark, d), spark.sql("SELECT 'N4' AS code"), 2)
 
 
-@query(f"WITH {EDGE}, {CONCEPT} SELECT code FROM concept WHERE code IN (SELECT code FROM concept WHERE kind = 'none')")
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS parent, n_nationkey * n_nationkey % 25 AS child FROM nation),
+w AS (SELECT parent, child FROM e UNION SELECT w.parent, e.child FROM w JOIN e ON e.parent = w.child) SELECT 'N' || parent AS code FROM w WHERE parent = child""")
 def hierarchy_cycles(spark, d):
-    """No cycles in this hierarchy."""
-    return h.has_cycle(h.closure(t.edges(spark, d)))
+    """Nations, each above the one whose number is its square modulo 25: some lie on cycles, others only lead to them."""
+    n = table(spark, d, "nation")
+    code = lambda x: F.concat(F.lit("N"), _s(x))
+    return h.has_cycle(h.closure(n.select(code("n_nationkey").alias("parent"), code(F.col("n_nationkey") * F.col("n_nationkey") % 25).alias("child"))))
 
 
 @query(f"WITH {PART}, {REL} SELECT DISTINCT target AS code FROM rel WHERE rel LIKE 'supplier-%' AND source IN (SELECT source FROM rel WHERE rel = 'part-R' AND target IN (SELECT code FROM part_c WHERE brand = 'Brand#12'))")

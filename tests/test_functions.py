@@ -48,7 +48,7 @@ def test_texts(spark):
     assert values(spark, lambda c: text.language_match(c, "en-US"), "en-US", "en-us", "en", "en-GB", "de", None) == [3, 3, 1, 1, 0, 0]
     assert values(spark, lambda c: text.language_part(c, "script"), "zh-Hans-CN", "zh-CN") == ["Hans", None]
     assert values(spark, lambda c: text.display_difference(c, F.lit("Ab c")), "Ab c", "ab C", " ab  c", "x") == ["same", "case", "space", "other"]
-    assert values(spark, text.ndc_code11, "2-14-8", "1-2", None) == ["00002001408", None, None]
+    assert values(spark, text.ndc_code11, "2-14-8", "1-2", None, "", "123456-7-89") == ["00002001408", "00000000012", "", "", "123456000789"]
     assert [str(x) for x in values(spark, text.repaired_date, "23880101", "20200230", "abc", None)] == ["2018-01-01", "None", "None", "None"]
     assert [[tuple(y) for y in x] for x in values(spark, text.language_preferences, "en;q=0.5, de, fr;q=0.9", "")] == [[("de", 1.0), ("fr", 0.9), ("en", 0.5)], []]
     assert [tuple(x) for x in values(spark, text.modified_code, "1:a:b", "1:a:a", ":x", "9")] == [("1", ["a", "b"], True), ("1", ["a", "a"], False), ("", ["x"], False), ("9", [], True)]
@@ -73,6 +73,7 @@ def test_definitions(spark):
         expand("x", loop, s)
     with pytest.raises(ValueError, match="not supported"):
         got(Filter("p", "near", "1"))
+    assert resolved_version("10.0", check="1")[1] is not None and resolved_version("1.0", check="1")[1] is None
     assert resolved_version("1", override="2") == ("2", None) and resolved_version("1.2", check="2.x")[1] is not None
 
 

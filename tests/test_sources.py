@@ -40,7 +40,7 @@ def test_value_sets_and_maps(spark):
     got = sorted((r["kind"], r["clause_ord"], r["system"], r["imports"]) for r in res.value_set_clauses(frame(spark, vset, SYSTEM)).collect())
     assert got == [("exclude", 0, "s", None), ("include", 0, "s", None), ("include", 1, None, ["v"])]
     cmap = {"resourceType": "ConceptMap", "url": "m", "group": [{"source": "s", "target": "t", "element": [{"code": "1", "target": [{"code": "x", "equivalence": "wider"}, {"code": "y", "relationship": "related-to"}]}]}]}
-    assert sorted((r["target_code"], r["relationship"]) for r in res.map_rows(frame(spark, cmap)).collect()) == [("x", "source-is-narrower-than-target"), ("y", "related-to")]
+    assert sorted((r["target_code"], r["relationship"]) for r in res.map_rows(frame(spark, cmap)).collect()) == [("x", "source-is-broader-than-target"), ("y", "related-to")]
 
 
 def test_package_and_folder(spark, tmp_path):
