@@ -51,3 +51,45 @@ def canonical(value: Column) -> Column:
     """``url|version`` as a struct, cut at the last pipe; no version gives null."""
     has = F.instr(value, "|") > 0
     return F.struct(F.when(has, F.regexp_extract(value, r"^(.*)\|[^|]*$", 1)).otherwise(value).alias("url"), F.when(has, F.nullif(F.regexp_extract(value, r"\|([^|]*)$", 1), F.lit(""))).alias("version"))
+
+
+# Names of specification releases and their versions.
+RELEASES = {"R2": "1.0.2", "DSTU2": "1.0.2", "R2B": "1.4.0", "R3": "3.0.2", "STU3": "3.0.2", "R4": "4.0.1", "R4B": "4.3.0", "R5": "5.0.0", "R6": "6.0.0-cibuild"}
+SPECIFICATION = "http://hl7.org/fhir/"
+
+
+def release_version(name: Column) -> Column:
+    """A release name in any case, or a specification's address that starts with one, as its version; other texts stay, empty ones are null."""
+    bare = F.when(F.startswith(name, F.lit(SPECIFICATION)), F.split(F.substring(name, len(SPECIFICATION) + 1, 1 << 30), "/")[0]).otherwise(name)
+    known = F.create_map(*[F.lit(x) for kv in RELEASES.items() for x in kv])
+    return F.nullif(F.coalesce(F.try_element_at(known, F.upper(bare)), bare), F.lit(""))
+
+
+def this_or_later(criteria: Column, candidate: Column, precision: str = "full") -> Column:
+    """Whether the candidate is the criteria's version or a later one, told to the major, minor or patch part or in full.
+
+    A wildcard or a missing part of the criteria lets anything from there on through; a part that only the criteria have, nothing. In full, a labelled
+    version comes before its release. Null where either isn't a semantic version.
+    """
+    want, have = release_version(criteria), release_version(candidate)
+    w, h = [], []
+    for k in range(1, {"major": 1, "minor": 2, "patch": 3, "full": 3}[precision] + 1):
+        mine, asked = F.coalesce(part(have, k).try_cast("int"), F.lit(-1)), part(want, k)
+        wild = F.when(mine < 0, 0).otherwise(-1)
+        h.append(mine.alias(f"p{k}"))
+        w.append(F.when(asked.isNull(), -1).otherwise(F.coalesce(asked.try_cast("int"), wild)).alias(f"p{k}"))
+    if precision == "full":
+        for version, parts in ((want, w), (have, h)):
+            parts += [part(version, 4).isNull().alias("release"), F.coalesce(part(version, 4), F.lit("")).alias("label")]
+    return F.when(part(want, 1).isNotNull() & part(have, 1).isNotNull(), F.struct(*h) >= F.struct(*w))
+
+
+def date_digits(value: Column) -> Column:
+    """A date without its time and dashes, so that dates of every length compare as texts."""
+    return F.replace(F.split(value, "T")[0], F.lit("-"), F.lit(""))
+
+
+def canonical_matches(value: Column, pattern: Column) -> Column:
+    """Whether ``url|version`` fits a pattern: the same url, and the pattern's version if it has one."""
+    v, p = canonical(value), canonical(pattern)
+    return F.coalesce((v["url"] == p["url"]) & (p["version"].isNull() | (v["version"] == p["version"]) | matches(v["version"], p["version"])), F.lit(False))

@@ -29,6 +29,13 @@ def closure(edges: DataFrame) -> DataFrame:
     return known
 
 
+def closure_by_system(edges: DataFrame) -> DataFrame:
+    """``closure`` of (system, parent, child) for all systems in one job: (system, ancestor, descendant, depth)."""
+    own = lambda c: F.struct("system", F.col(c).alias("code"))
+    pairs = closure(edges.filter("parent IS NOT NULL AND child IS NOT NULL").select(own("parent").alias("parent"), own("child").alias("child")))
+    return pairs.select("ancestor.system", F.col("ancestor.code").alias("ancestor"), F.col("descendant.code").alias("descendant"), "depth")
+
+
 def walk(edges: DataFrame, of: str | list[str], up: bool = False) -> DataFrame:
     """Codes strictly below (or above) any of the given ones, level by level from these: the work is in proportion to what is found, not to the hierarchy.
 

@@ -84,3 +84,18 @@ def designations(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality") == 0, "retired").otherwise("active")
     return docs.join(labels, "doc_id", "left").select(F.col("source").alias("code"), "lang", F.col("text").alias("value"), status.alias("status"), F.col("doc_id").alias("ord"))
+
+
+def versioned_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """(system, version, code, display): part types as systems in three versions, each with some of 40 codes."""
+    p = table(spark, d, "part")
+    version = F.element_at(F.array(F.lit("1.0.0"), F.lit("1.1.0"), F.lit("2.0.0")), (F.col("p_size") % 3 + 1).cast("int"))
+    code = F.concat(F.lit("P"), (F.col("p_partkey") % 40).cast("string"))
+    return p.groupBy(F.lower("p_type").alias("system"), version.alias("version"), code.alias("code")).agg(F.min("p_name").alias("display"))
+
+
+def versioned_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(system, parent, child): each of the 40 codes of those systems below the code of a third of its number."""
+    n = table(spark, d, "part").select(F.lower("p_type").alias("system")).distinct().select("system", F.explode(F.sequence(F.lit(1), F.lit(39))).alias("n"))
+    code = lambda k: F.concat(F.lit("P"), k.cast("string"))
+    return n.select("system", code(F.floor(F.col("n") / 3)).alias("parent"), code(F.col("n")).alias("child"))
