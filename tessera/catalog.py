@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalogue_queries, composed_queries, hierarchy_queries, more_queries, provider_queries, versioned_queries
+from tessera.plans import catalogue_queries, composed_queries, hierarchy_queries, more_queries, provider_queries, registry_queries, versioned_queries
 
-QUERIES: dict = hierarchy_queries.Q | catalogue_queries.Q | more_queries.Q | composed_queries.Q | versioned_queries.Q | provider_queries.Q
-ORACLE: dict = hierarchy_queries.SQL | catalogue_queries.SQL | more_queries.SQL | composed_queries.SQL | versioned_queries.SQL | provider_queries.SQL
+QUERIES: dict = hierarchy_queries.Q | catalogue_queries.Q | more_queries.Q | composed_queries.Q | versioned_queries.Q | provider_queries.Q | registry_queries.Q
+ORACLE: dict = hierarchy_queries.SQL | catalogue_queries.SQL | more_queries.SQL | composed_queries.SQL | versioned_queries.SQL | provider_queries.SQL | registry_queries.SQL
 FLAGSHIP = "expand_hierarchy"

@@ -34,3 +34,109 @@ def defined_by(rels: DataFrame, wanted: DataFrame) -> DataFrame:
     n = w.groupBy().agg(F.count("*").alias("needed"))
     hit = rels.join(w, ["rel", "target"], "left_semi").select("source", "rel", "target").distinct().groupBy("source").agg(F.count("*").alias("n"))
     return hit.join(n, F.col("n") == F.col("needed")).select(F.col("source").alias("code"))
+
+
+# Attributes, the hierarchy that their concepts are meant to be in, and the one that their values are from.
+DOMAINS = {"116676008": "404684003", "363698007": "404684003", "42752001": "71388002", "260686004": "71388002", "405815000": "71388002"}
+RANGES = {"116676008": "49755003", "363698007": "442083009", "42752001": "404684003", "47429007": "78621006"}
+
+
+def outside_rules(rels: DataFrame, pairs: DataFrame, rules: dict[str, str], of: str) -> DataFrame:
+    """Relationships whose ``of`` (source for domains, target for ranges) is neither the hierarchy that the attribute's rule names nor below it; advice, not errors."""
+    hierarchy = F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]), F.col("rel"))
+    asked = rels.withColumn("hierarchy", hierarchy).filter("hierarchy IS NOT NULL")
+    inside = pairs.select(F.col("ancestor").alias("hierarchy"), F.col("descendant").alias(of)).distinct()
+    return asked.filter(F.col(of) != F.col("hierarchy")).join(inside, ["hierarchy", of], "left_anti").select(*rels.columns, "hierarchy")
+
+
+def fits_pairs(pairs: DataFrame, a: str, b: str, rows: DataFrame) -> DataFrame:
+    """Rows in which ``a`` is ``b`` or an ancestor of it."""
+    up = pairs.select(F.col("ancestor").alias(a), F.col("descendant").alias(b), F.lit(True).alias("over")).distinct()
+    return rows.join(up, [a, b], "left").filter(F.col("over") | (F.col(a) == F.col(b))).drop("over")
+
+
+def subsumed(requests: DataFrame, rels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(code_a, code_b, subsumes): whether a's definition subsumes b's: for every group of a some group of b has, for each of a's pairs, the same type with the same or a narrower target.
+
+    Pairs of group 0 stand alone. A concept without a definition says nothing, so it subsumes all. Pairs of a meet pairs of b on their type only within
+    one request, and groups are counted, not gathered.
+    """
+    pair = F.concat_ws("=", "rel", "target")
+    own = F.when(F.col("grp") > 0, F.col("grp").cast("string")).otherwise(pair)
+    side = lambda x: rels.select(F.col("source").alias(f"code_{x}"), own.alias(f"g_{x}"), "rel", F.col("target").alias(f"t_{x}")).distinct()
+    r = requests.select("code_a", "code_b").distinct()
+    a = r.join(side("a"), "code_a")
+    needs = a.groupBy("code_a", "code_b", "g_a").agg(F.count("*").alias("needed"))
+    met = fits_pairs(pairs, "t_a", "t_b", a.join(side("b"), ["code_b", "rel"]))
+    got = met.select("code_a", "code_b", "g_a", "g_b", "rel", "t_a").distinct().groupBy("code_a", "code_b", "g_a", "g_b").agg(F.count("*").alias("n"))
+    got = got.groupBy("code_a", "code_b", "g_a").agg(F.max("n").alias("n"))
+    done = needs.join(got, ["code_a", "code_b", "g_a"], "left").groupBy("code_a", "code_b").agg(F.bool_and(F.coalesce(F.col("n") == F.col("needed"), F.lit(False))).alias("ok"))
+    return r.join(done, ["code_a", "code_b"], "left").select("code_a", "code_b", F.coalesce("ok", F.lit(True)).alias("subsumes"))
+
+
+def narrowest(rels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Relationships without those that a narrower target of the same type in the same group of the concept makes redundant."""
+    r = rels.select("source", "grp", "rel", "target").distinct()
+    up = pairs.filter("ancestor <> descendant").select(F.col("ancestor").alias("target"), F.col("descendant").alias("narrower")).distinct()
+    there = r.select("source", "grp", "rel", F.col("target").alias("narrower"))
+    wide = r.join(up, "target").join(there, ["source", "grp", "rel", "narrower"], "left_semi").select("source", "grp", "rel", "target").distinct()
+    return r.join(wide, ["source", "grp", "rel", "target"], "left_anti")
+
+
+def mergeable_groups(rels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, g, h) of a concept's groups that say the same in part: they share types, and for every shared type one target is the other or an ancestor of it."""
+    r = rels.filter("grp > 0").groupBy("source", "grp", "rel").agg(F.min("target").alias("target"))
+    a = r.select("source", F.col("grp").alias("g"), "rel", F.col("target").alias("t_a"))
+    b = r.select("source", F.col("grp").alias("h"), "rel", F.col("target").alias("t_b"))
+    both = a.join(b, ["source", "rel"]).filter("g < h")
+    down = pairs.select(F.col("ancestor").alias("t_a"), F.col("descendant").alias("t_b"), F.lit(True).alias("d")).distinct()
+    up = pairs.select(F.col("descendant").alias("t_a"), F.col("ancestor").alias("t_b"), F.lit(True).alias("u")).distinct()
+    ok = F.coalesce("d", "u", F.lit(False)) | (F.col("t_a") == F.col("t_b"))
+    rated = both.join(down, ["t_a", "t_b"], "left").join(up, ["t_a", "t_b"], "left").groupBy("source", "g", "h").agg(F.bool_and(ok).alias("ok"))
+    return rated.filter("ok").select("source", "g", "h")
+
+
+def linked(edges: DataFrame, rels: DataFrame) -> DataFrame:
+    """(code, n_parents, n_outbound, n_inbound): how each concept is linked, parents by the hierarchy, the rest by relationships. Counts, as a hub's links may be many."""
+    one = lambda df, c, k: df.select(F.col(c).alias("code"), F.lit(k).alias("k"))
+    rows = one(edges.distinct(), "child", 0).unionByName(one(rels, "source", 1)).unionByName(one(rels, "target", 2))
+    return rows.groupBy("code").agg(*[F.count_if(F.col("k") == k).alias(n) for k, n in enumerate(("n_parents", "n_outbound", "n_inbound"))])
+
+
+# Association reference sets that are read as maps, and the relationship that each stands for.
+ASSOCIATIONS = {"900000000000523009": "inexact", "900000000000526001": "equivalent", "900000000000527005": "equal", "900000000000530003": "inexact"}
+
+
+def implicit_map(url: str, system: str, associations: DataFrame) -> DataFrame:
+    """(source_code, target_code, kind) of the map that ``system?fhir_cm=id`` names, from association rows (refset, code, target); an address of another form or set is an error."""
+    head = f"{system}?fhir_cm="
+    name = url.removeprefix(head)
+    if not url.startswith(head) or name not in ASSOCIATIONS:
+        raise ValueError(f"{url} names no map")
+    return associations.filter(F.col("refset") == name).select(F.col("code").alias("source_code"), F.col("target").alias("target_code"), F.lit(ASSOCIATIONS[name]).alias("kind")).distinct()
+
+
+def implicit_set(url: str, system: str) -> tuple[str, str | None]:
+    """What ``system?fhir_vs...`` asks for: all, refsets, or isa or refset with an id. Addresses of another form are errors."""
+    head = f"{system}?fhir_vs"
+    if url.startswith(head):
+        kind, _, value = url.removeprefix(head).removeprefix("=").partition("/")
+        if kind in ("", "refset") and not value:
+            return ("refsets" if kind else "all"), None
+        if kind in ("isa", "refset") and value:
+            return kind, value
+    raise ValueError(f"{url} names no value set")
+
+
+def implicit_members(url: str, system: str, concepts: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(code) of the set that an address names: every concept, one and what is below it, a reference set's members (refset, code), or the reference sets themselves."""
+    from tessera.operators import hierarchy as h
+
+    kind, value = implicit_set(url, system)
+    if kind == "all":
+        return concepts.select("code").distinct()
+    if kind == "isa":
+        return h.below(edges, value, True, concepts)
+    if kind == "refset":
+        return members.filter(F.col("refset") == value).select("code").distinct()
+    return members.select(F.col("refset").alias("code")).distinct()
