@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import catalogue_queries, composed_queries, hierarchy_queries, more_queries, provider_queries, registry_queries, versioned_queries
+from tessera.plans import catalogue_queries, composed_queries, hierarchy_queries, more_queries, provider_queries, registry_queries, resource_queries, versioned_queries
 
-QUERIES: dict = hierarchy_queries.Q | catalogue_queries.Q | more_queries.Q | composed_queries.Q | versioned_queries.Q | provider_queries.Q | registry_queries.Q
-ORACLE: dict = hierarchy_queries.SQL | catalogue_queries.SQL | more_queries.SQL | composed_queries.SQL | versioned_queries.SQL | provider_queries.SQL | registry_queries.SQL
+_MODULES = (hierarchy_queries, catalogue_queries, more_queries, composed_queries, versioned_queries, provider_queries, registry_queries, resource_queries)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.Q.items()}
+ORACLE: dict = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
 FLAGSHIP = "expand_hierarchy"

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Decimal prefixes, and units with their factor and base units.
@@ -51,6 +51,38 @@ def reduced(unit: str) -> tuple[Fraction, str] | None:
     return factor, " ".join(f"{b}{n}" for b, n in sorted(powers.items()) if n)
 
 
+# Units of temperature whose zero isn't absolute: kelvins a degree, and the zero in kelvins.
+OFFSETS = {"Cel": ("1", "5463/20"), "[degF]": ("5/9", "45967/180"), "[degRe]": ("5/4", "5463/20")}
+
+
+def zero_shift(unit: str) -> tuple[Fraction, Fraction] | None:
+    """Kelvins a degree and the zero's kelvins of a unit of temperature, kelvin too; None for other units."""
+    if unit in OFFSETS:
+        return Fraction(OFFSETS[unit][0]), Fraction(OFFSETS[unit][1])
+    r = reduced(unit) if unit else None
+    return (r[0], Fraction(0)) if r and r[1] == "K1" else None
+
+
+def temperature(value: Column, source: str, target: str) -> Column:
+    """A temperature in another unit; units that don't measure one are an error."""
+    a, b = zero_shift(source), zero_shift(target)
+    if a is None or b is None:
+        raise ValueError(f"no temperatures: {source}, {target}")
+    return value * float(a[0] / b[0]) + float((a[1] - b[1]) / b[0])
+
+
+def fault(unit: str | None) -> str | None:
+    """What is wrong with a unit text, or None."""
+    if not unit:
+        return "the unit is empty"
+    return None if unit in OFFSETS or reduced(unit) else f"the unit {unit} is not known"
+
+
+def search(text: str, regex: bool = False) -> list[str]:
+    """The table's units whose text contains, or fits, what is sought, in order."""
+    return sorted(u for u in (*UNITS, *OFFSETS) if (re.search(text, u) if regex else text.lower() in u.lower()))
+
+
 def known_units(units: DataFrame) -> DataFrame:
     """(unit, num, den, base) of the distinct texts of a ``unit`` column; null base for unknown ones."""
 
@@ -71,3 +103,10 @@ def converted(rows: DataFrame) -> DataFrame:
     out = rows.join(side("source"), "source", "left").join(side("target"), "target", "left")
     result = F.when(F.col("source_b") == F.col("target_b"), F.col("value") * F.col("source_n") * F.col("target_d") / (F.col("source_d") * F.col("target_n")))
     return out.select("id", "value", "source", "target", result.alias("result"))
+
+
+def measures_same(rows: DataFrame, canonical: str) -> DataFrame:
+    """(id) of rows (id, unit) whose unit reduces to the same base units as the canonical one."""
+    r = reduced(canonical)
+    known = known_units(rows).filter(F.col("base") == (r[1] if r else None)).select("unit")
+    return rows.join(known, "unit", "left_semi").select("id")

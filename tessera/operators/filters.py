@@ -56,3 +56,13 @@ def reduce_or(tests: list[Column]) -> Column:
     for t in tests:
         out = out | t
     return out
+
+
+def property_of(props: DataFrame, prop: str, codes: DataFrame) -> DataFrame:
+    """Codes whose property has one of the given codes as its value; these may come from any other filters."""
+    return props.filter(F.col("prop") == prop).join(codes.select(F.col("code").alias("value")).distinct(), "value", "left_semi").select("code").distinct()
+
+
+def property_values(props: DataFrame, prop: str, codes: DataFrame) -> DataFrame:
+    """The values, as codes, that a property has on the given codes."""
+    return props.filter(F.col("prop") == prop).join(codes.select("code").distinct(), "code", "left_semi").select(F.col("value").alias("code")).distinct()

@@ -243,3 +243,24 @@ def filter_relations(rows: DataFrame, pairs: DataFrame, many_parents: bool) -> D
         .when(F.col("over"), "left-wider").when(F.col("under"), "right-wider").otherwise("unknown" if many_parents else "disjoint")
     )
     return r.select("pair", relation.alias("relation"))
+
+
+def distinct_includes(clauses: DataFrame) -> DataFrame:
+    """(vset, system, system_version, clause_ord): each system and version that a set includes, at its first clause."""
+    inc = clauses.filter("kind = 'include' AND system IS NOT NULL").select(named().alias("vset"), "system", F.nullif("system_version", F.lit("")).alias("system_version"), "clause_ord")
+    return inc.groupBy("vset", "system", "system_version").agg(F.min("clause_ord").alias("clause_ord"))
+
+
+def listing(concepts: DataFrame) -> DataFrame:
+    """(system, version, n_codes, is_newest): what systems and versions there are."""
+    n = concepts.groupBy("system", "version").agg(F.count_distinct("code").alias("n_codes"))
+    last = newest(n, ["system"]).select("system", F.col("version").alias("last"))
+    return n.join(last, "system").select("system", "version", "n_codes", F.col("version").eqNullSafe(F.col("last")).alias("is_newest"))
+
+
+def located_codes(requests: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(canonical, code, version, display) of (canonical, code): the version that the system's canonical names, or its major.minor, and the code's display there; nulls for what isn't there."""
+    systems = concepts.select(F.col("system").alias("url"), "version").distinct()
+    at = requests.select("canonical", "code").distinct().join(resolved(requests, systems), "canonical", "left")
+    d = concepts.groupBy(F.col("system").alias("url"), "version", "code").agg(F.min("display").alias("display"))
+    return at.join(d, ["url", "version", "code"], "left").select("canonical", "code", "version", "display")

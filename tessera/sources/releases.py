@@ -123,3 +123,21 @@ def substances(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Substances (code, display) and their names (code, value, type). A code's display is the least one given for it, as files have no stable order."""
     names = df.select(F.col("UNII").alias("code"), F.col("Name").alias("value"), F.col("TYPE").alias("type"), F.col("Display Name").alias("display"))
     return names.groupBy("code").agg(F.min("display").alias("display")), names.select("code", "value", "type")
+
+
+def answer_set(url: str, concepts: DataFrame, answers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(code) of what an address ``.../vs`` or ``.../vs/code`` of the laboratory system names: all codes, an answer list's answers (list, code), or what is below a part in the closure."""
+    _, slash, name = url.partition("/vs")[2].partition("/")
+    if not slash:
+        return concepts.select("code").distinct()
+    listed = answers.filter(F.col("list") == name).select("code")
+    below = pairs.filter(F.col("ancestor") == name).select(F.col("descendant").alias("code"))
+    return listed.unionByName(below).distinct()
+
+
+def vocabulary_map(concepts: DataFrame, relations: DataFrame, source: str, target: str) -> DataFrame:
+    """(source_code, target_code, relationship) of the map between two vocabularies: "Maps to" rows between concepts (id, code, vocabulary), which are equivalences."""
+    side = lambda v, i, c: concepts.filter(F.col("vocabulary") == v).select(F.col("id").alias(i), F.col("code").alias(c))
+    r = relations.filter(F.col("kind") == "Maps to").select("id_1", "id_2")
+    out = r.join(side(source, "id_1", "source_code"), "id_1").join(side(target, "id_2", "target_code"), "id_2")
+    return out.select("source_code", "target_code", F.lit("equivalent").alias("relationship")).distinct()

@@ -117,3 +117,18 @@ def write_rows(df: DataFrame, path: str, kind: str) -> None:
 def as_json(value) -> str:
     """A resource given as Python data, as the readers above take it."""
     return json.dumps(value)
+
+
+def content_index(resources: DataFrame) -> DataFrame:
+    """(path, type, id, url, version) of every JSON resource, read once; what isn't a resource is left out."""
+    v = resources.select("path", F.try_parse_json("json").alias("v"))
+    get = lambda k: F.try_variant_get("v", f"$.{k}", "string")
+    return v.select("path", get("resourceType").alias("type"), get("id").alias("id"), get("url").alias("url"), get("version").alias("version")).filter("type IS NOT NULL")
+
+
+def server_metadata(statements: DataFrame) -> DataFrame:
+    """(server, system, version) of servers' terminology statements in JSON (server, json): each code system with each version that it lists, null if it lists none."""
+    v = statements.select("server", F.try_parse_json("json").alias("v"))
+    s = v.select("server", F.explode(F.try_variant_get("v", "$.codeSystem", "array<variant>")).alias("s"))
+    code = F.transform(F.try_variant_get("s", "$.version", "array<variant>"), lambda x: F.try_variant_get(x, "$.code", "string"))
+    return s.select("server", F.try_variant_get("s", "$.uri", "string").alias("system"), F.explode_outer(code).alias("version")).filter("system IS NOT NULL").distinct()

@@ -52,3 +52,15 @@ def sync_stream(stream: DataFrame, path: str, checkpoint: str, key: str, order:
         upsert(state, batch.dropDuplicates(), key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def applied(state: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """The state after changes (its columns, ``change`` added, changed or deleted): the last change of a key by ``order`` decides, and a deletion removes it."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct("change", *[c for c in state.columns if c != key]), order).alias("b")).select(key, "b.*")
+    kept = state.join(last.select(key), key, "left_anti")
+    return kept.unionByName(last.filter("change <> 'deleted'").select(*state.columns))
+
+
+def history(stored: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
+    """Every version that was ever seen, once: those stored, and those of the current content that aren't."""
+    return stored.unionByName(current.dropDuplicates(key).join(stored.select(*key), key, "left_anti").select(*stored.columns))
