@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Back-references and look-around in a pattern.
+LOOKS_BACK = r"\\[1-9]|\(\?[=!<]"
+
 
 def has_property(props: DataFrame, prop: str, test: Column) -> DataFrame:
     """Codes with a value of ``prop`` for which ``test`` (over ``value``) holds; equality, lists, anchored patterns and existence are such tests."""
@@ -13,9 +18,7 @@ def has_property(props: DataFrame, prop: str, test: Column) -> DataFrame:
 
 def matches(value: str, pattern: str) -> Column:
     """Whole-value match. Back-references and look-around are refused, as linear-time engines do."""
-    import re
-
-    if re.search(r"\\[1-9]|\(\?[=!<]", pattern):
+    if re.search(LOOKS_BACK, pattern):
         raise ValueError("back-references and look-around are not supported")
     return F.col(value).rlike(f"^(?:{pattern})$")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import versions
+
 # Map types and equivalences, and the relationship each stands for.
 RELATIONSHIPS = {
     "equal": "equivalent", "equivalent": "equivalent", "same-as": "equivalent", "relatedto": "related-to", "related-to": "related-to",
@@ -36,3 +38,40 @@ def both_ways(rows: DataFrame) -> DataFrame:
 def provides(rows: DataFrame) -> DataFrame:
     """(map, n_rows, n_sources, n_targets) of each map."""
     return rows.groupBy("map").agg(F.count("*").alias("n_rows"), F.count_distinct("source_code").alias("n_sources"), F.count_distinct("target_code").alias("n_targets"))
+
+
+# Equivalences and relationships under which a mapping translates a code.
+EQUIVALENCES = ["relatedto", "equivalent", "equal", "wider", "subsumes", "narrower", "specializes", "inexact"]
+TRANSLATING = ["related-to", "equivalent", "source-is-narrower-than-target", "source-is-broader-than-target"]
+
+
+def translated(requests: DataFrame, mappings: DataFrame, reverse: bool = False) -> DataFrame:
+    """(req_id, map, system, code, relationship, equivalence, comment, products): the translations of (req_id, system, version, code, scope, to_system).
+
+    ``mappings`` is what ``sources.resources.mappings`` gives. A group counts if its source fits the request's system and version and its target the
+    wanted system (any, if null), or if the map's target scope fits the wanted scope; reverse swaps the sides, and translates targets to sources.
+    A mapping counts by its equivalence if it has one, else by its relationship. Of mappings to the same system and code the first one stays.
+    Requests without a code, and mappings without the code that they are looked up by, give nothing; a request that is there twice gives what one does.
+    """
+    near, far = ("target", "source") if reverse else ("source", "target")
+    url = lambda c: versions.canonical(F.col(c))["url"]
+    r = requests.select("req_id", F.concat_ws("|", "system", "version").alias("asked"), F.col("system").alias("near_url"), F.col("code").alias("near_code"), "scope", "to_system").distinct()
+    kind = F.when(F.coalesce(F.col("equivalence"), F.lit("")) != "", F.col("equivalence").isin(EQUIVALENCES)).otherwise(F.col("relationship").isin(TRANSLATING))
+    m = mappings.filter(kind).withColumn("near_code", F.col(f"{near}_code")).withColumn("near_url", url(near)).withColumn("scope_url", url("target_scope"))
+    by_group = r.join(m, ["near_url", "near_code"]).filter(versions.canonical_matches(F.col("asked"), F.col(near)) & (F.col("to_system").isNull() | versions.canonical_matches(F.col("to_system"), F.col(far))))
+    by_scope = r.withColumn("scope_url", url("scope")).join(m.drop("near_url"), ["scope_url", "near_code"]).filter(versions.canonical_matches(F.col("scope"), F.col("target_scope")))
+    cols = ["req_id", "map", "group_ord", "element_ord", "target_ord", F.col(far).alias("system"), F.col(f"{far}_code").alias("code"), "relationship", "equivalence", "comment", "products"]
+    out = by_group.select(*cols).unionByName(by_scope.select(*cols))
+    first = F.min_by(F.struct("map", "relationship", "equivalence", "comment", "products"), F.struct("map", "group_ord", "element_ord", "target_ord"))
+    return out.groupBy("req_id", "system", "code").agg(first.alias("m")).select("req_id", "m.map", "system", "code", "m.relationship", "m.equivalence", "m.comment", "m.products")
+
+
+def maps_for(pairs: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(source_system, target_system, map): the maps with a group from one system to the other, or whose scopes are these."""
+    w = pairs.select("source_system", "target_system").distinct()
+    m = mappings.select("map", "source", "target", "source_scope", "target_scope").distinct()
+    sides = m.select("map", F.explode(F.array(F.struct("source", "target"), F.struct(F.col("source_scope").alias("source"), F.col("target_scope").alias("target")))).alias("x")).select("map", "x.source", "x.target").distinct()
+    url = lambda c: versions.canonical(F.col(c))["url"]
+    hit = w.withColumn("a", url("source_system")).withColumn("b", url("target_system")).join(sides.withColumn("a", url("source")).withColumn("b", url("target")), ["a", "b"])
+    hit = hit.filter(versions.canonical_matches(F.col("source_system"), F.col("source")) & versions.canonical_matches(F.col("target_system"), F.col("target")))
+    return hit.select("source_system", "target_system", "map").distinct()

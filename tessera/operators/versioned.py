@@ -6,10 +6,13 @@ system, system_version, concepts, filters, imports). A set is named by ``url|ver
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import versions
+from tessera.operators.filters import LOOKS_BACK
 from tessera.session import settled
 
 
@@ -82,31 +85,67 @@ def other_versions_only(clauses: DataFrame) -> DataFrame:
     return g.filter((F.col("n") == 1) & (F.col("bare") == 0) & (F.size("i") > 0) & (F.size("e") > 0) & ~F.arrays_overlap("i", "e")).select("vset")
 
 
-def _conditions(c: DataFrame, pairs: DataFrame, props: DataFrame) -> DataFrame:
-    """(vset, kind, clause_ord, k, system, used, code): codes that fulfil condition k of a clause. Condition 0 is the list, the others are filters."""
+#: Operators of filters, on the concept itself and on a property; others are refused.
+CONCEPT_OPS = ["=", "in", "not-in", "is-a", "is-not-a", "descendent-of", "descendent-leaf", "child-of", "generalizes", "regex", "exists"]
+PROPERTY_OPS = ["=", "in", "not-in", "regex", "exists"]
+
+
+def _filters(clauses: DataFrame, keys: list) -> DataFrame:
+    """Filters one a row with ``on`` (concept, child or property), the positive operator ``op``, ``negated``, and ``one``, each value that it lists."""
+    f = clauses.select(*keys, F.posexplode("filters").alias("p", "f")).select(*keys, (F.col("p") + 1).alias("k"), "f.property", F.col("f.op").alias("stated"), "f.value")
+    on = F.when(F.col("property").isin("concept", "code"), "concept").when((F.col("property") == "child") & (F.col("stated") == "exists"), "child").otherwise("property")
+    op = F.when(F.col("stated") == "not-in", "in").when(F.col("stated") == "is-not-a", "is-a").otherwise(F.col("stated"))
+    negated = F.col("stated").isin("not-in", "is-not-a") | ((F.col("stated") == "exists") & (F.col("value") == "false"))
+    values = F.when(op == "in", F.transform(F.split("value", ","), lambda x: F.trim(x))).otherwise(F.array("value"))
+    return f.select(*keys, "k", "property", on.alias("on"), op.alias("op"), negated.alias("negated"), F.explode(values).alias("one"))
+
+
+def _conditions(c: DataFrame, concepts: DataFrame, pairs: DataFrame, props: DataFrame) -> DataFrame:
+    """(vset, kind, clause_ord, k, system, used, code): codes that fulfil condition k of a clause. Condition 0 is the list, the others are filters; a negated one is what its opposite leaves of the system's version."""
     key = ["vset", "kind", "clause_ord", "system", "used"]
     listed = c.select(*key, F.explode("concepts").alias("x")).select(*key, F.lit(0).alias("k"), F.col("x.code").alias("code"))
-    f = c.select(*key, F.posexplode("filters").alias("p", "f")).select(*key, (F.col("p") + 1).alias("k"), "f.property", "f.op", "f.value")
-    f = f.withColumn("one", F.explode(F.when(F.col("op") == "in", F.transform(F.split("value", ","), lambda x: F.trim(x))).otherwise(F.array("value"))))
-    on_concept = F.col("property").isin("concept", "code")
-    walk = f.filter(on_concept & F.col("op").isin("is-a", "descendent-of")).join(pairs.select("system", F.col("ancestor").alias("one"), F.col("descendant").alias("code")), ["system", "one"])
-    own = f.filter(on_concept & F.col("op").isin("is-a", "=", "in")).withColumn("code", F.col("one"))
-    has = f.filter(~on_concept & F.col("op").isin("=", "in")).join(props.select("system", F.col("prop").alias("property"), F.col("value").alias("one"), "code"), ["system", "property", "one"])
+    f = settled(_filters(c, key))
+    on = lambda what, *ops: f.filter((F.col("on") == what) & F.col("op").isin(*ops))
+    code = concepts.select("system", F.col("version").alias("used"), "code").filter("code IS NOT NULL").distinct()
+    over = pairs.select("system", F.col("ancestor").alias("one"), F.col("descendant").alias("code"))
+    parents = pairs.select("system", F.col("ancestor").alias("code")).distinct()
+    has = props.select("system", F.col("prop").alias("property"), "value", "code")
+    whole = F.concat(F.lit("^(?:"), "one", F.lit(")$"))
+    parts = [
+        on("concept", "is-a", "descendent-of").join(over, ["system", "one"]),
+        on("concept", "descendent-leaf").join(over.join(parents, ["system", "code"], "left_anti"), ["system", "one"]),
+        on("concept", "generalizes").join(pairs.select("system", F.col("descendant").alias("one"), F.col("ancestor").alias("code")), ["system", "one"]),
+        on("concept", "is-a", "generalizes", "=", "in").withColumn("code", F.col("one")),
+        on("concept", "regex").join(code, ["system", "used"]).filter(F.rlike("code", whole)),
+        on("concept", "exists").join(code, ["system", "used"]),
+        on("child", "exists").join(parents, "system"),
+        on("property", "=", "in").join(has.withColumnRenamed("value", "one"), ["system", "property", "one"]),
+        on("property", "regex").join(has, ["system", "property"]).filter(F.rlike("value", whole)),
+        on("property", "exists").join(has, ["system", "property"]),
+    ]
+    if "depth" in pairs.columns:
+        parts.append(on("concept", "child-of").join(pairs.filter("depth = 1").select("system", F.col("ancestor").alias("one"), F.col("descendant").alias("code")), ["system", "one"]))
     cols = [*key, "k", "code"]
-    return listed.select(*cols).unionByName(walk.select(*cols)).unionByName(own.select(*cols)).unionByName(has.select(*cols)).distinct()
+    hits = reduce(DataFrame.unionByName, [x.select(*cols, "negated") for x in parts])
+    asked = f.filter("negated").select(*key, "k", "on").distinct().join(code, ["system", "used"])
+    bare = asked.filter("on = 'property'").join(props.select("system", "code").distinct(), ["system", "code"], "left_anti").select(*cols).join(f.filter("op = 'in'").select(*key, "k").distinct(), [*key, "k"], "left_semi")
+    rest = asked.select(*cols).join(hits.filter("negated").select(*cols), cols, "left_anti").join(bare, cols, "left_anti")
+    return listed.select(*cols).unionByName(hits.filter("NOT negated").select(*cols)).unionByName(rest).distinct()
 
 
 def expanded(clauses: DataFrame, concepts: DataFrame, pairs: DataFrame, props: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """(vset, system, version, code, display, clause_ord) of every set in the table: the first include that gave a code, without the excludes.
 
-    All conditions of a clause have to hold; a clause without any takes its whole system. Filters: is-a, descendent-of, = and in on the concept (``pairs`` is
-    (system, ancestor, descendant)), = and in on a property (``props`` is (system, prop, value, code)). Imports are taken in rounds, one for each level
+    All conditions of a clause have to hold; a clause without any takes its whole system. Filters: ``CONCEPT_OPS`` on the concept (``pairs`` is
+    (system, ancestor, descendant), for child-of with its depth), ``PROPERTY_OPS`` on a property (``props`` is (system, prop, value, code)), and exists on ``child``.
+    not-in holds for codes with some property, exists takes true or false, regex fits the whole text. Imports are taken in rounds, one for each level
     of nesting. Sets that import themselves or what isn't there, and filters of other kinds, are errors. A clause whose system has no fitting version gives nothing.
     """
-    known = F.expr("exists(filters, f -> NOT coalesce(CASE WHEN f.property IN ('concept', 'code') THEN f.op IN ('is-a', 'descendent-of', '=', 'in') ELSE f.op IN ('=', 'in') END, false))")
     c = settled(chosen(clauses, concepts, rules).withColumn("vset", named()))
-    if c.filter(known).take(1):
-        raise ValueError("a filter has an operator that is not supported")
+    concept_ops = [x for x in CONCEPT_OPS if x != "child-of" or "depth" in pairs.columns]
+    bad = lambda f: ~F.coalesce(F.when(f["property"].isin("concept", "code"), f["op"].isin(concept_ops)).otherwise(f["op"].isin(PROPERTY_OPS)) & f["value"].isNotNull() & ((f["op"] != "regex") | ~f["value"].rlike(LOOKS_BACK)), F.lit(False))
+    if c.filter(F.exists("filters", bad)).take(1):
+        raise ValueError("a filter has an operator or a value that is not supported")
     imports = c.select("vset", "kind", "clause_ord", F.explode("imports").alias("canonical")).distinct()
     names = resolved(imports, clauses).select("canonical", F.when(F.col("url").isNotNull(), named()).alias("target"))
     imports = settled(imports.join(names, "canonical"))
@@ -119,7 +158,7 @@ def expanded(clauses: DataFrame, concepts: DataFrame, pairs: DataFrame, props: D
     size = lambda x: F.when(F.col(x).isNull(), 0).otherwise(F.size(x))
     own = size("filters") + F.when(size("concepts") > 0, 1).otherwise(0)
     needed = needed.withColumn("needed", own + F.col("n_imports"))
-    conditions = settled(_conditions(c.filter("used IS NOT NULL"), pairs, props))
+    conditions = settled(_conditions(c.filter("used IS NOT NULL"), concepts, pairs, props))
     strict = other_versions_only(clauses).withColumn("by_version", F.lit(True))
     code = concepts.select("system", F.col("version").alias("used"), "code").distinct()
     key = ["vset", "kind", "clause_ord"]

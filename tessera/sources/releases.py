@@ -5,10 +5,11 @@ All are Spark's CSV reader with the release's dialect, all columns text, and pro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ndc_code11, repaired_date
+from tessera.session import settled
 
 # Identifiers of the clinical release format (is-a relationship, synonym and full name types, defining characteristics).
 IS_A, FULL_NAME = "116680003", "900000000000003001"
@@ -141,3 +142,46 @@ def vocabulary_map(concepts: DataFrame, relations: DataFrame, source: str, targe
     r = relations.filter(F.col("kind") == "Maps to").select("id_1", "id_2")
     out = r.join(side(source, "id_1", "source_code"), "id_1").join(side(target, "id_2", "target_code"), "id_2")
     return out.select("source_code", "target_code", F.lit("equivalent").alias("relationship")).distinct()
+
+
+#: Headers in the text of the older classification: a group by its range in brackets, a concept by its code at the start of a line.
+GROUP_LINE = r"^(?:[IVXLCDM]+\.\s+)?(.*?)\s+\(([A-Z]?\d{1,3}-[A-Z]?\d{1,3})\)$"
+CODE_LINE = r"^([A-Z]?\d{2,3}(?:\.\d+)?)\s+(\S.*)"
+SECTION_LINE = r"(?i)^(?:(include)s?:|(exclude)s?:|(note):)\s*(.*)$"
+RANGE = r"^[A-Z]?(\d+)-[A-Z]?(\d+)$"
+
+
+def classification_text(texts: DataFrame) -> DataFrame:
+    """(path, ord, code, display, is_group, parent_code, description, includes, excludes, note) of the older classification's whole texts (path, text).
+
+    A line that is no header goes on with the concept before it, in the section that was named last; lines before the first header go. A code's
+    parent is the longest code before it that it continues, else the narrowest range before it that holds its number, letters aside (the first
+    of equals); a range's is the narrowest other one around it. A null or empty text gives nothing. A text is one release file and is split in one task.
+    """
+    lines = texts.select("path", F.posexplode(F.split("text", "\r?\n")).alias("n", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "\\s+", " "))).filter("line <> ''")
+    group, code = F.col("line").rlike(GROUP_LINE), F.col("raw").rlike(CODE_LINE)
+    pick = lambda i: F.when(group, F.regexp_extract("line", GROUP_LINE, 3 - i)).when(code, F.regexp_extract(F.rtrim("raw"), CODE_LINE, i))
+    lines = lines.withColumns({"code": pick(1), "display": F.trim(F.regexp_replace(pick(2), "\\s+", " ")), "is_group": group, "named": F.when(F.col("line").rlike(SECTION_LINE), F.lower(F.regexp_replace("line", r"(?i)^(include|exclude|note).*$", "$1")))})
+    so_far = Window.partitionBy("path").orderBy("n")
+    lines = lines.withColumn("ord", F.count("code").over(so_far)).filter("ord > 0")
+    in_block = Window.partitionBy("path", "ord").orderBy("n")
+    lines = lines.withColumn("section", F.coalesce(F.last(F.when(F.col("code").isNull(), F.col("named")), True).over(in_block), F.lit("description")))
+    said = F.when(F.col("code").isNull(), F.nullif(F.when(F.col("named").isNotNull(), F.regexp_extract("line", SECTION_LINE, 4)).otherwise(F.col("line")), F.lit("")))
+    part = lambda name: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("section") == name) & said.isNotNull(), F.struct("n", said.alias("s"))))), lambda x: x["s"]), " "), F.lit(""))
+    head = lambda c: F.max(F.when(F.col("code").isNotNull(), F.col(c))).alias(c)
+    rows = lines.groupBy("path", "ord").agg(head("code"), head("display"), head("is_group"), part("description").alias("description"), part("include").alias("includes"), part("exclude").alias("excludes"), part("note").alias("note"))
+    rows = settled(rows)
+
+    first = rows.groupBy("path", "code").agg(F.min("ord").alias("at"))
+    dot = F.instr("code", ".")
+    longer = rows.filter(dot > 0).select("path", "ord", F.explode(F.expr("transform(sequence(instr(code, '.') - 1, length(code) - 1), k -> substring(code, 1, k))")).alias("up"))
+    by_code = longer.join(first.withColumnRenamed("code", "up"), ["path", "up"]).filter("at < ord").groupBy("path", "ord").agg(F.max_by("up", F.length("up")).alias("by_code"))
+
+    ends = lambda df: df.withColumns({"lo": F.regexp_extract("code", RANGE, 1).cast("int"), "hi": F.regexp_extract("code", RANGE, 2).cast("int")})
+    ranges = ends(first.filter(F.col("code").rlike(RANGE))).filter("lo <= hi")
+    around = ranges.select("path", F.col("code").alias("up"), "at", "hi", (F.col("hi") - F.col("lo")).alias("span"), F.explode(F.sequence("lo", "hi")).alias("lo")).withColumnRenamed("hi", "up_hi")
+    number = F.regexp_extract("code", r"^[A-Z]?(\d+)", 1).cast("int")
+    wanted = ends(rows.filter(F.col("code").rlike(RANGE))).select("path", "ord", "code", "lo", "hi").unionByName(rows.filter(~F.col("code").rlike(RANGE)).select("path", "ord", "code", number.alias("lo"), number.alias("hi")))
+    by_range = wanted.join(around, ["path", "lo"]).filter("at < ord AND hi <= up_hi AND up <> code").groupBy("path", "ord").agg(F.min_by("up", F.struct("span", "at")).alias("by_range"))
+    out = rows.join(by_code, ["path", "ord"], "left").join(by_range, ["path", "ord"], "left")
+    return out.select("path", "ord", "code", "display", "is_group", F.coalesce("by_code", "by_range").alias("parent_code"), "description", "includes", "excludes", "note")

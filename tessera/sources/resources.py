@@ -108,6 +108,28 @@ def map_rows(resources: DataFrame) -> DataFrame:
     return t.select("map", "source", "target", "source_code", F.try_variant_get("t", "$.code", "string").alias("target_code"), F.when(kind.isin("source-is-narrower-than-target", "source-is-broader-than-target", "not-related-to"), kind).otherwise(relationship(kind)).alias("relationship"))
 
 
+def mappings(resources: DataFrame) -> DataFrame:
+    """(map, source_scope, target_scope, group_ord, source, target, element_ord, source_code, target_ord, target_code, relationship, equivalence, comment, products) of concept maps.
+
+    Nothing is normalised. ``map`` is url|version; products are (property, system, value). An element without targets gives no row.
+    """
+    text = lambda v, path: F.try_variant_get(v, f"$.{path}", "string")
+    many = lambda v, path: F.posexplode(F.try_variant_get(v, f"$.{path}", "array<variant>"))
+    v = resources.select(F.try_parse_json("json").alias("v")).filter(text("v", "resourceType") == "ConceptMap")
+    scope = lambda side: F.coalesce(text("v", f"{side}ScopeUri"), text("v", f"{side}ScopeCanonical")).alias(f"{side}_scope")
+    head = ["map", "source_scope", "target_scope"]
+    g = v.select(F.concat_ws("|", text("v", "url"), text("v", "version")).alias("map"), scope("source"), scope("target"), many("v", "group").alias("group_ord", "g"))
+    head += ["group_ord", "source", "target"]
+    e = g.withColumns({"source": text("g", "source"), "target": text("g", "target")}).select(*head, many("g", "element").alias("element_ord", "e"))
+    head += ["element_ord", "source_code"]
+    t = e.withColumn("source_code", text("e", "code")).select(*head, many("e", "target").alias("target_ord", "t"))
+    product = lambda x: F.struct(text(x, "property").alias("property"), text(x, "system").alias("system"), text(x, "value").alias("value"))
+    return t.select(
+        *head, "target_ord", text("t", "code").alias("target_code"), text("t", "relationship").alias("relationship"), text("t", "equivalence").alias("equivalence"),
+        text("t", "comment").alias("comment"), F.transform(F.try_variant_get("t", "$.product", "array<variant>"), product).alias("products"),
+    )
+
+
 def write_rows(df: DataFrame, path: str, kind: str) -> None:
     """Rows as CSV with a header, JSON lines or Parquet."""
     w = df.write.mode("overwrite")
