@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import decimals
 from tessera.operators import hierarchy as h
 from tessera.operators import maps
 from tessera.operators import versioned as vv
@@ -142,3 +143,16 @@ def classification_text(spark, d):
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "c", "line"))), lambda x: x["line"]), "\n").alias("text")
     texts = lines.groupBy("n_regionkey").agg(whole).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("path"), "text")
     return releases.classification_text(texts).drop("ord")
+
+
+@query("""WITH q AS (SELECT l_orderkey AS o, l_linenumber AS n, l_orderkey * 100 + l_linenumber AS id, l_quantity::INT AS q, l_linenumber % 4 AS k FROM lineitem)
+SELECT id, (CASE k WHEN 0 THEN (q + 0.5) * n / 100 WHEN 1 THEN (q + 0.5) + n::DECIMAL(9, 2) / 100 WHEN 2 THEN n - q WHEN 3 THEN o::DECIMAL(18, 4) / 8 END)::DOUBLE AS result,
+CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN n < 10 THEN 1 END WHEN 3 THEN CASE WHEN o = 0 THEN 1 ELSE 100 END END::INTEGER AS digits FROM q""")
+def decimal_arithmetic(spark, d):
+    """Products, sums, differences and quotients of texts: quantities and a half, line numbers as hundredths, whole numbers."""
+    k, q, n = F.col("l_linenumber") % 4, _s(F.col("l_quantity").cast("int")), _s("l_linenumber")
+    a = F.when(k < 2, F.concat(q, F.lit(".5"))).when(k == 2, n).otherwise(_s("l_orderkey"))
+    b = F.when(k < 2, F.concat(F.lit("0.0"), n)).when(k == 2, q).otherwise("8")
+    op = F.when(k == 0, "*").when(k == 1, "+").when(k == 2, "-").otherwise("/")
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), a.alias("a"), op.alias("op"), b.alias("b"))
+    return decimals.with_results(rows).select("id", F.col("result").cast("double").alias("result"), "digits")

@@ -5,7 +5,7 @@ from fractions import Fraction
 
 import pytest
 
-from tessera.functions import units
+from tessera.functions import decimals, units
 from tessera.operators import maps
 from tessera.operators import versioned as vv
 from tessera.sources import releases, resources
@@ -93,3 +93,15 @@ def test_units():
 def test_units_too_large(spark):
     r = spark.createDataFrame([(1, 2.0, "Ym500", "Ym500"), (2, 2.0, "kcal", "[Cal]"), (3, None, "m", None)], "id long, value double, source string, target string")
     assert [(x[0], x[4]) for x in rows(units.converted(r))] == [(1, None), (2, 2.0), (3, None)]
+
+
+def test_decimals(spark):
+    cases = {
+        ("1", "+", "1"): "2", ("5", "+", "-6"): "-1", ("0", "-", "2"): "-2", ("2", "*", "0.5"): "1", ("20", "*", "20"): "400", ("1.50", "*", "2.0"): "3.0", ("2", "*", "-2"): "-4", ("0", "*", "1.00"): "0",
+        ("1", "/", "8"): "0.125", ("400", "/", "20"): "20", ("1", "/", "3"): "0.3", ("2.00", "/", "3"): "0.667", ("1000.0", "/", "3.0"): "333", ("-0", "+", "0"): "0", ("1e2", "*", "1e-1"): "10", ("0.1", "+", "0.2"): "0.3",
+        ("123456789012345678901234567890", "*", "10"): "1234567890123456789012345678900", ("1", "/", "0"): None, ("", "+", "1"): None, (".", "+", "1"): None, ("1.", "+", "1"): None, (None, "+", "1"): None, ("1", "^", "1"): None, ("1", None, "1"): None, ("1e999", "+", "1"): None,
+    }
+    assert {k: (decimals.calculated(*k) or (None,))[0] for k in cases} == cases
+    assert decimals.calculated("1", "/", "8")[1] == 100 and decimals.calculated("1.50", "*", "2.0")[1] == 2 and decimals.number("0.00")[1] == 2 and decimals.number("-0.010")[1] == 2
+    frame = spark.createDataFrame([(1, "2", "*", "3", "clash"), (2, None, "*", "3", None)], "id int, a string, op string, b string, digits string")
+    assert rows(decimals.with_results(frame).select("id", "result", "digits")) == [(1, "6", 1), (2, None, None)] and decimals.with_results(frame.limit(0)).count() == 0
