@@ -68,3 +68,8 @@ def modified_code(expression: Column) -> Column:
     mods = F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0)))
     ok = (p[0] != "") & ~F.array_contains(mods, "") & (F.size(F.array_distinct(mods)) == F.size(mods))
     return F.struct(p[0].alias("code"), mods.alias("modifiers"), ok.alias("ok"))
+
+
+def flag(value: Column, default: bool = False) -> Column:
+    """A text as a boolean: only ``true`` in lower case is true; null and empty texts give the default."""
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit(default)).otherwise(value == "true")

@@ -178,3 +178,14 @@ def measures_same(rows: DataFrame, canonical: str) -> DataFrame:
     r = reduced(canonical)
     known = known_units(rows).filter(F.col("base") == (r[1] if r else None)).select("unit")
     return rows.join(known, "unit", "left_semi").select("id")
+
+
+def faults(rows: DataFrame) -> DataFrame:
+    """(unit, fault) of the distinct texts of a ``unit`` column, null included; a null fault is a unit that is known."""
+
+    @F.arrow_udf("string")
+    def check(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield pa.array([fault(u) for u in a.to_pylist()], pa.string())
+
+    return rows.select("unit").distinct().withColumn("fault", check("unit"))

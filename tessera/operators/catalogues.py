@@ -112,3 +112,24 @@ def two_way(links: DataFrame) -> DataFrame:
     b = links.select(F.col("target").alias("item"), F.col("source").alias("other"), F.lit(1).alias("side"))
     one = a.unionByName(b).distinct()
     return one.groupBy("item").agg(F.count_if(F.col("side") == 0).alias("uses"), F.count_if(F.col("side") == 1).alias("used_by"))
+
+
+# Numbers of specification releases in usage tables, and their names.
+RELEASE_NAMES = {"1": "R2", "2": "R2B", "3": "R3", "4": "R4", "5": "R4B", "6": "R5"}
+
+
+def extension_examples(definitions: DataFrame, usages: DataFrame, users: DataFrame) -> DataFrame:
+    """(url, user_url, user_name, release): who uses the extension of each url; definitions (def_id, url), usages (def_id, user_id), users (user_id, user_url, user_name, version).
+
+    A version number that has no name stays as it is, a null one is empty. A use that is recorded twice is there twice.
+    """
+    known = F.create_map(*[F.lit(x) for kv in RELEASE_NAMES.items() for x in kv])
+    number = F.col("version").cast("string")
+    rows = usages.select("def_id", "user_id").join(definitions.select("def_id", "url"), "def_id").join(users.select("user_id", "user_url", "user_name", "version"), "user_id")
+    return rows.select("url", "user_url", "user_name", F.coalesce(F.try_element_at(known, number), number, F.lit("")).alias("release"))
+
+
+def profiles_by_package(profiles: DataFrame, packages: DataFrame) -> DataFrame:
+    """(resource_type, url, title, package): each profile (package_id, resource_type, url, title) with its package (package_id, name, version) as name#version; an absent title is empty."""
+    p = packages.select("package_id", F.concat("name", F.lit("#"), F.coalesce("version", F.lit(""))).alias("package"))
+    return profiles.join(p, "package_id").select("resource_type", "url", F.coalesce("title", F.lit("")).alias("title"), "package")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import decimals
+from tessera.functions import decimals, text, units
+from tessera.operators import catalogues as cat
 from tessera.operators import hierarchy as h
 from tessera.operators import maps
 from tessera.operators import versioned as vv
@@ -156,3 +157,47 @@ def decimal_arithmetic(spark, d):
     op = F.when(k == 0, "*").when(k == 1, "+").when(k == 2, "-").otherwise("/")
     rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), a.alias("a"), op.alias("op"), b.alias("b"))
     return decimals.with_results(rows).select("id", F.col("result").cast("double").alias("result"), "digits")
+
+
+@query("""SELECT 'e:' || p_brand AS url, 'u:' || l_orderkey AS user_url, o_orderpriority AS user_name, CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'R2' WHEN 2 THEN 'R2B' WHEN 3 THEN 'R3' WHEN 4 THEN 'R4' WHEN 5 THEN 'R4B' WHEN 6 THEN 'R5' ELSE '7' END AS release
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size < 10""")
+def extension_examples(spark, d):
+    """Brands as extensions, orders as their users."""
+    defs = table(spark, d, "part").filter("p_size < 10").select(F.col("p_partkey").alias("def_id"), F.concat(F.lit("e:"), "p_brand").alias("url"))
+    uses = table(spark, d, "lineitem").select(F.col("l_partkey").alias("def_id"), F.col("l_orderkey").alias("user_id"))
+    o = F.col("o_orderkey")
+    users = table(spark, d, "orders").select(o.alias("user_id"), F.concat(F.lit("u:"), _s(o)).alias("user_url"), F.col("o_orderpriority").alias("user_name"), F.when(o % 8 > 0, o % 8).alias("version"))
+    return cat.extension_examples(defs, uses, users)
+
+
+@query("SELECT p_type AS resource_type, 'P' || p_partkey AS url, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS title, s_name || '#' || CASE WHEN s_acctbal > 0 THEN s_nationkey::VARCHAR ELSE '' END AS package FROM part JOIN supplier ON s_suppkey = p_partkey % 10")
+def profiles_by_package(spark, d):
+    profiles = table(spark, d, "part").select((F.col("p_partkey") % 10).alias("package_id"), F.col("p_type").alias("resource_type"), F.concat(F.lit("P"), _s("p_partkey")).alias("url"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("title"))
+    packages = table(spark, d, "supplier").select(F.col("s_suppkey").alias("package_id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") > 0, _s("s_nationkey")).alias("version"))
+    return cat.profiles_by_package(profiles, packages)
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 = 0 AS flag, o_orderkey % 5 IN (0, 3, 4) AS flag_or_true FROM orders")
+def text_flags(spark, d):
+    k = F.col("o_orderkey") % 5
+    value = F.when(k == 0, "true").when(k == 1, "TRUE").when(k == 2, "false").when(k == 3, "")
+    return table(spark, d, "orders").select("o_orderkey", text.flag(value).alias("flag"), text.flag(value, True).alias("flag_or_true"))
+
+
+@query("SELECT 'v:' || p_partkey AS url, p_size::VARCHAR AS version, '2020-01-' || lpad((p_size % 28 + 1)::VARCHAR, 2, '0') AS locked_date FROM part WHERE p_size % 4 = 0 AND p_partkey % 2 = 0")
+def locked_definitions(spark, d):
+    """Value sets in JSON, a quarter of them locked to a date, some no value sets."""
+    date = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("2020-01-"), F.lpad(_s(F.col("p_size") % 28 + 1), 2, "0"))).when(F.col("p_size") % 4 == 1, "")
+    kind = F.when(F.col("p_partkey") % 2 == 0, "ValueSet").otherwise("CodeSystem")
+    body = F.struct(kind.alias("resourceType"), F.concat(F.lit("v:"), _s("p_partkey")).alias("url"), _s("p_size").alias("version"), F.struct(date.alias("lockedDate")).alias("compose"))
+    return resources.locked(table(spark, d, "part").select(F.to_json(body).alias("json")))
+
+
+@query("SELECT CASE l_linenumber % 5 WHEN 0 THEN 'mg/dL' WHEN 1 THEN '10*3/uL' WHEN 2 THEN 'mg/' WHEN 3 THEN 'furlong' || l_linestatus END AS unit, l_linenumber % 5 < 2 AS known, count(*) AS n FROM lineitem GROUP BY ALL")
+def unit_faults(spark, d):
+    """Rows by their unit, with whether it is known: right ones, a division by nothing, unknown ones and nulls."""
+    k = F.col("l_linenumber") % 5
+    unit = F.when(k == 0, "mg/dL").when(k == 1, "10*3/uL").when(k == 2, "mg/").when(k == 3, F.concat(F.lit("furlong"), "l_linestatus"))
+    rows = table(spark, d, "lineitem").groupBy(unit.alias("unit")).agg(F.count("*").alias("n"))
+    faults = units.faults(rows).withColumnRenamed("unit", "u")
+    return rows.join(faults, F.col("unit").eqNullSafe(F.col("u"))).select("unit", F.isnull("fault").alias("known"), "n")

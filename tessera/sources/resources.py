@@ -154,3 +154,10 @@ def server_metadata(statements: DataFrame) -> DataFrame:
     s = v.select("server", F.explode(F.try_variant_get("v", "$.codeSystem", "array<variant>")).alias("s"))
     code = F.transform(F.try_variant_get("s", "$.version", "array<variant>"), lambda x: F.try_variant_get(x, "$.code", "string"))
     return s.select("server", F.try_variant_get("s", "$.uri", "string").alias("system"), F.explode_outer(code).alias("version")).filter("system IS NOT NULL").distinct()
+
+
+def locked(resources: DataFrame) -> DataFrame:
+    """(url, version, locked_date) of the value sets whose definition is locked to a date, which can't be expanded."""
+    v = resources.select(F.try_parse_json("json").alias("v")).filter(F.try_variant_get("v", "$.resourceType", "string") == "ValueSet")
+    get = lambda path: F.try_variant_get("v", f"$.{path}", "string")
+    return v.select(get("url").alias("url"), get("version").alias("version"), get("compose.lockedDate").alias("locked_date")).filter(F.coalesce("locked_date", F.lit("")) != "")
