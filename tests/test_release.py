@@ -4,8 +4,10 @@ import json
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.functions import decimals, units
+from tessera.functions import decimals, text, units
+from tessera.operators import catalogues as cat
 from tessera.operators import maps
 from tessera.operators import versioned as vv
 from tessera.sources import releases, resources
@@ -72,8 +74,8 @@ def test_translated(spark):
 
 
 def test_classification_text(spark):
-    text = "dropped\nXVII. ALL  OF IT (800-999)\nE. BY CAUSE (E800-E999)\n\nINJURY (800-829)\n  excludes: burns\n   other\n Includes:\n a  b\n801  Fall\n note: x\n801.0\tLow\n801.01 Lower\n801.5x not a code\nV01 Contact\n801.0 Again"
-    frame = spark.createDataFrame([("f", text), ("g", None), ("h", ""), ("i", "no header"), ("j", "801.1 Alone")], "path string, text string")
+    whole = "dropped\nXVII. ALL  OF IT (800-999)\nE. BY CAUSE (E800-E999)\n\nINJURY (800-829)\n  excludes: burns\n   other\n Includes:\n a  b\n801  Fall\n note: x\n801.0\tLow\n801.01 Lower\n801.5x not a code\nV01 Contact\n801.0 Again"
+    frame = spark.createDataFrame([("f", whole), ("g", None), ("h", ""), ("i", "no header"), ("j", "801.1 Alone")], "path string, text string")
     got = {(r.path, r.ord): r for r in releases.classification_text(frame).collect()}
     assert [(got["f", k].code, got["f", k].parent_code) for k in range(1, 9)] == [
         ("800-999", None), ("E800-E999", "800-999"), ("800-829", "800-999"), ("801", "800-829"), ("801.0", "801"), ("801.01", "801.0"), ("V01", None), ("801.0", "801"),
@@ -105,3 +107,18 @@ def test_decimals(spark):
     assert decimals.calculated("1", "/", "8")[1] == 100 and decimals.calculated("1.50", "*", "2.0")[1] == 2 and decimals.number("0.00")[1] == 2 and decimals.number("-0.010")[1] == 2
     frame = spark.createDataFrame([(1, "2", "*", "3", "clash"), (2, None, "*", "3", None)], "id int, a string, op string, b string, digits string")
     assert rows(decimals.with_results(frame).select("id", "result", "digits")) == [(1, "6", 1), (2, None, None)] and decimals.with_results(frame.limit(0)).count() == 0
+
+
+def test_catalogue_tables(spark):
+    make = spark.createDataFrame
+    users = make([(1, "u1", None, 4), (2, None, "n", 9), (3, "u3", "x", None)], "user_id int, user_url string, user_name string, version int")
+    uses = make([(1, 1), (1, 1), (1, 2), (None, 3), (2, None)], "def_id int, user_id int")
+    got = cat.extension_examples(make([(1, "e"), (2, None)], "def_id int, url string"), uses, users)
+    assert rows(got) == sorted([("e", "u1", None, "R4"), ("e", "u1", None, "R4"), ("e", None, "n", "9")], key=repr)
+    profiles = make([(1, "Patient", "p", None), (9, "Patient", "q", "t"), (None, None, None, None)], "package_id int, resource_type string, url string, title string")
+    assert rows(cat.profiles_by_package(profiles, make([(1, "a", None)], "package_id int, name string, version string"))) == [("Patient", "p", "", "a#")]
+    flags = make([("true",), ("True",), ("",), (None,)], "x string").select(text.flag(F.col("x"), True))
+    assert [r[0] for r in flags.collect()] == [True, False, True, True]
+    sets = make([('{"resourceType": "ValueSet", "url": "u", "compose": {"lockedDate": "2020"}}',), ("no json",), (None,), ('{"resourceType": "ValueSet"}',)], "json string")
+    assert rows(resources.locked(sets)) == [("u", None, "2020")]
+    assert rows(units.faults(make([("g", 1), ("g", 2), (None, 3), ("?", 4)], "unit string, fault int"))) == [("?", "the unit ? is not known"), ("g", None), (None, "the unit is empty")]
